@@ -1,0 +1,61 @@
+"""Queries of the operators in this folder, and SQL where SQL can express them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from palimpsest.llm import distinctive, rankfuse, split
+from palimpsest.sources.tables import table
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinctive.rare_shared_terms(table(spark, sf_dir, "postings"))
+
+
+def p1_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinctive.top_terms(distinctive.distinctive_terms(table(spark, sf_dir, "postings")), 10)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.over_limit_records(table(spark, sf_dir, "wal"))
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.pieces(table(spark, sf_dir, "wal"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rankfuse.firsts(table(spark, sf_dir, "lane_hits"))
+
+
+def p6_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rankfuse.ranking(table(spark, sf_dir, "lane_hits"))
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_top_terms": p1_top_terms,
+    "p5_found": p5_found, "p5_pieces": p5_pieces,
+    "p6_found": p6_found, "p6_ranking": p6_ranking,
+}
+
+ORACLE = {
+    "p1_found": r"""
+with p as (select distinct segment, term, chunk_id, freq, seq from postings),
+n as (select trim(translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as term, chunk_id, freq, seq from p where term is not null and trim(term) <> '' and chunk_id is not null and freq > 0),
+newest as (select chunk_id, max(seq) as seq from n group by 1),
+tf as (select n.chunk_id, n.term, sum(n.freq) as tf from n join newest using (chunk_id, seq) group by 1, 2),
+df as (select term, count(*) as df from tf group by 1),
+total as (select chunk_id, sum(tf) as chunk_tf from tf group by 1)
+select chunk_id, term from tf join df using (term) join total using (chunk_id) where tf >= 3 and df between 2 and 8 and tf * 40 >= chunk_tf""",
+    "p5_found": r"""
+with t as (select distinct seq, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low from wal where length(text) > 500),
+big as (select * from t where len(regexp_extract_all(low, '[a-z0-9]+')) >= 492 or length(regexp_replace(low, '[^a-z0-9]+', '', 'g')) - len(regexp_extract_all(low, '[a-z0-9]+')) >= 1844),
+unit as (select seq, unnest(string_split_regex(regexp_replace(low, '([.!?])([ \t\n\r])', '\1' || chr(1) || '\2', 'g'), chr(1) || '|\n|\r')) as u from big),
+sized as (select seq, len(regexp_extract_all(u, '[a-z0-9]+')) as w, length(regexp_replace(u, '[^a-z0-9]+', '', 'g')) as c from unit)
+select seq, case when max(case when w >= 492 or c - w >= 1844 then 1 else 0 end) = 1 then 'forced' else 'boundary' end as kind from sized group by seq""",
+    "p6_found": r"""
+with best as (select qid, lane, mu, memory_id, max(score) as s from lane_hits where score is not null and not isnan(score) and score <> -1e9 group by all),
+ranked as (select qid, memory_id, rank() over (partition by qid, lane, mu order by s) + (count(*) over (partition by qid, lane, mu, s) - 1) / 2.0 as r, count(*) over (partition by qid, lane, mu) as n from best),
+fused as (select qid, memory_id, sum(r / n) as f from ranked group by 1, 2)
+select qid, arg_max(memory_id, (f, -memory_id)) as memory_id from fused group by 1""",
+}
