@@ -25,12 +25,3 @@ def n_pairs(c: Column) -> Column:
     """Adjacent character pairs inside words: the words' lengths less the number of words."""
     t = ascii_lower(F.coalesce(c, F.lit("")))
     return F.length(F.regexp_replace(t, "[^a-z0-9]+", "")) - F.size(tokens(c))
-
-
-def shingles(words: Column, n: int) -> Column:
-    """Distinct 64-bit hashes of every run of `n` consecutive words, in no order; fewer words give none."""
-    runs = F.transform(
-        F.slice(words, 1, F.greatest(F.size(words) - (n - 1), F.lit(0))),
-        lambda x, i: F.xxhash64(x, *[F.get(words, i + j) for j in range(1, n)]),
-    )
-    return F.array_distinct(runs)

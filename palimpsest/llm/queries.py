@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import distinctive, rankfuse, split
+from palimpsest.llm import distinctive, nearcopies, rankfuse, split
 from palimpsest.sources.tables import table
 
 
@@ -16,6 +16,15 @@ def p1_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinctive.top_terms(distinctive.distinctive_terms(table(spark, sf_dir, "postings")), 10)
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nearcopies.near_duplicate_pairs(table(spark, sf_dir, "wal"))
+    return found.withColumnsRenamed({"a": "seq_a", "b": "seq_b"})
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_duplicate_groups(table(spark, sf_dir, "wal")).withColumnRenamed("id", "seq")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.over_limit_records(table(spark, sf_dir, "wal"))
 
@@ -34,6 +43,7 @@ def p6_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_top_terms": p1_top_terms,
+    "p3_found": p3_found, "p3_groups": p3_groups,
     "p5_found": p5_found, "p5_pieces": p5_pieces,
     "p6_found": p6_found, "p6_ranking": p6_ranking,
 }

@@ -75,7 +75,10 @@ def lay_out(text: str, max_words: int = MAX_WORDS, max_pairs: int = MAX_PAIRS, o
                 k = max(2, -(-int(words[e] - words[todo]) // core_words), -(-int(pairs[e] - pairs[todo]) // core_pairs))
                 w = int(np.searchsorted(words, words[todo] + (words[e] - words[todo]) / k, "right")) - 1
                 p = int(np.searchsorted(pairs, pairs[todo] + (pairs[e] - pairs[todo]) / k, "right")) - 1
-                todo = max(todo + 1, min(w, p) if fits(todo, max(w, p)) is False else max(w, p))
+                nxt = max(todo + 1, min(w, p))
+                while nxt > todo + 1 and not fits(todo, nxt):
+                    nxt -= 1
+                todo = nxt
                 lay.strength[todo] = max(lay.strength[todo], FORCED)
                 ends.append(todo)
         ends.append(int(e))
