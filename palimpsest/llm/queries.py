@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import distinctive, nearcopies, rankfuse, split
+from palimpsest.llm import distinctive, nearcopies, neighbours, rankfuse, split
 from palimpsest.sources.tables import table
 
 
@@ -16,6 +16,15 @@ def p1_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinctive.top_terms(distinctive.distinctive_terms(table(spark, sf_dir, "postings")), 10)
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.mutual_or_single_pairs(table(spark, sf_dir, "fingerprints"))
+    return found.withColumnsRenamed({"a": "chunk_id_a", "b": "chunk_id_b"})
+
+
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "fingerprints"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = nearcopies.near_duplicate_pairs(table(spark, sf_dir, "wal"))
     return found.withColumnsRenamed({"a": "seq_a", "b": "seq_b"})
@@ -43,6 +52,7 @@ def p6_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_top_terms": p1_top_terms,
+    "p2_found": p2_found, "p2_neighbours": p2_neighbours,
     "p3_found": p3_found, "p3_groups": p3_groups,
     "p5_found": p5_found, "p5_pieces": p5_pieces,
     "p6_found": p6_found, "p6_ranking": p6_ranking,
