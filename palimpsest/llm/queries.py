@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import distinctive, nearcopies, neighbours, rankfuse, split
+from palimpsest.llm import distinctive, nearcopies, neighbours, rankfuse, residue, split
 from palimpsest.sources.tables import table
 
 
@@ -50,12 +50,21 @@ def p6_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rankfuse.ranking(table(spark, sf_dir, "lane_hits"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.without_residue(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_top_terms": p1_top_terms,
     "p2_found": p2_found, "p2_neighbours": p2_neighbours,
     "p3_found": p3_found, "p3_groups": p3_groups,
     "p5_found": p5_found, "p5_pieces": p5_pieces,
     "p6_found": p6_found, "p6_ranking": p6_ranking,
+    "p9_found": p9_found, "p9_clean": p9_clean,
 }
 
 ORACLE = {
