@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import distinctive, nearcopies, neighbours, rankfuse, residue, split
+from palimpsest.llm import distinctive, mixing, nearcopies, neighbours, packing, rankfuse, residue, split
 from palimpsest.sources.tables import table
 
 
@@ -50,6 +50,30 @@ def p6_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rankfuse.ranking(table(spark, sf_dir, "lane_hits"))
 
 
+def p7_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.places(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
+
+
+def p7_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(p7_places(spark, sf_dir))
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> mixing.Mixture:
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.copies(_mixture(spark, sf_dir))
+
+
+def p8_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).slots
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(_mixture(spark, sf_dir))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -64,6 +88,8 @@ QUERIES = {
     "p3_found": p3_found, "p3_groups": p3_groups,
     "p5_found": p5_found, "p5_pieces": p5_pieces,
     "p6_found": p6_found, "p6_ranking": p6_ranking,
+    "p7_places": p7_places, "p7_unused": p7_unused,
+    "p8_copies": p8_copies, "p8_slots": p8_slots, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_clean": p9_clean,
 }
 
