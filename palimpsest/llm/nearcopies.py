@@ -244,13 +244,13 @@ def similar_sets(sets: DataFrame, join: Join) -> DataFrame:
     spark = sets.sparkSession
     sets = stage(sets, "classes")
     counted = sets.select(F.explode("toks").alias("t")).groupBy(F.expr(f"t & {SKETCH - 1}").cast("int").alias("at")).agg(F.count("*").alias("n"))
-    counted = counted.toPandas()  # at most SKETCH rows
-    freq = np.zeros(SKETCH, np.int32)
-    freq[counted["at"]] = np.minimum(counted["n"], 2**31 - 1)
+    counted = counted.toArrow()  # at most SKETCH rows, as Arrow batches
+    freq, n = np.zeros(SKETCH, np.int32), counted["n"].to_numpy()
+    freq[counted["at"].to_numpy()] = np.minimum(n, 2**31 - 1)
     sketch = spark.sparkContext.broadcast(freq.tobytes())
 
     keys = sets.select("id", "grp", "toks").mapInArrow(_keyer(join, sketch), _KEYS)
-    shingles_total = int(counted["n"].sum())
+    shingles_total = int(n.sum())
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(2.6 * shingles_total / _PART_ROWS))
     keys = keys.repartition(parts, "key")
     # keys that only one group, or only one side, has need no join; the same exchange serves count and join

@@ -234,11 +234,11 @@ def train(documents: DataFrame) -> Model | None:
     words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
     common = frozenset(r["w"] for r in words.where(F.col("n") >= max(2, n * COMMON_SHARE)).collect())
     bound = min(1 << 30, int((1 << 30) * SAMPLE_DOCS / n))
-    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < bound).select("text", F.lower(F.trim(F.coalesce("source", F.lit("")))).alias("host")).toPandas()
+    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < bound).select("text", F.lower(F.trim(F.coalesce("source", F.lit("")))).alias("host")).toArrow()
     rows, labels, held, docs = [], [], [], []
-    parted = [units(text) for text in sample["text"]]
+    parted = [units(text) for text in sample["text"].to_pylist()]
     filler = filler_words(parted)
-    for found, host in zip(parted, sample["host"]):
+    for found, host in zip(parted, sample["host"].to_pylist()):
         y = weak_labels(found, common, filler)
         odd = (y != CONTENT).any()
         keep = [i for i in range(len(found)) if odd or y[i] != CONTENT or i < 1 or xxhash.xxh32_intdigest(found[i]) % 10 == 0 or EXPLAINS.search(found[i])]
