@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 STEP = 0x9E3779B97F4A7C15  # fixed value: distance between a feature's probes
 BAND_FACTOR = 0xBF58476D1CE4E5B9  # fixed value: multiplier of the band hash
@@ -40,25 +41,25 @@ def probe(h: np.ndarray, n: np.ndarray, base: np.ndarray, size: np.ndarray) -> l
     return [p[:k] for p, k in zip(pos.astype(np.int32), n)]
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def hash_feature(feature: pd.Series) -> pd.Series:
     return pd.Series(hash_features(_bytes(feature)).view(np.int64))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def probe_positions(feature: pd.Series, n: pd.Series, base: pd.Series, size: pd.Series) -> pd.Series:
     """Positions of a feature's `n` probes within [base, base + size)."""
     return pd.Series(probe(hash_features(_bytes(feature)), n.to_numpy(np.int64), base.to_numpy(np.int64), size.to_numpy(np.int64)))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def context_positions(left: pd.Series, right: pd.Series, n: pd.Series, base: pd.Series, size: pd.Series) -> pd.Series:
     """Positions of the probes of two neighbours' xored hashes."""
     h = hash_features(_bytes(left)) ^ hash_features(_bytes(right))
     return pd.Series(probe(h, n.to_numpy(np.int64), base.to_numpy(np.int64), size.to_numpy(np.int64)))
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def band_hashes(bits: pd.Series, bands: pd.Series, rows: pd.Series) -> pd.Series:
     """One hash per band of `rows` 64-bit segments; a band without bits hashes to a value of its own, too."""
     b, r = (int(bands.iloc[0]), int(rows.iloc[0])) if len(bits) else (1, 1)

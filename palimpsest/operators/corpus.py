@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from palimpsest.functions.text import tokens
 
 
+_BLOCK = 100_000  # documents numbered or counted by one task
+
+
 def postings(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, term, tf)."""
     t = docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.col("text"))).alias("term"))
@@ -25,7 +28,7 @@ def term_stats(post: DataFrame) -> DataFrame:
 
 def ordinals(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Documents with their 1-based place in insertion order, summed up over blocks of ids."""
-    d = docs.withColumn("_block", F.floor(F.col(id_col) / 100_000))
+    d = docs.withColumn("_block", F.floor(F.col(id_col) / _BLOCK))
     base = d.groupBy("_block").agg(F.count("*").alias("_n"))
     base = base.select("_block", F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     place = F.row_number().over(Window.partitionBy("_block").orderBy(id_col))
@@ -37,8 +40,13 @@ def sequential_idf(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     `top_idf` is the highest value the term's idf ever had, so its maximum is the corpus's running maximum.
     """
-    each = ordinals(docs, id_col).select("ordinal", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    running = each.withColumn("rdf", F.row_number().over(Window.partitionBy("term").orderBy("ordinal")))
+    each = ordinals(docs, id_col).select("ordinal", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).withColumn("block", F.floor(F.col("ordinal") / _BLOCK))
+    # a term's running count: within a block of documents, plus the blocks before
+    counts = each.groupBy("term", "block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("term").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("term", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inner = F.row_number().over(Window.partitionBy("term", "block").orderBy("ordinal"))
+    running = each.withColumn("in_block", inner).join(counts, ["term", "block"]).withColumn("rdf", F.col("in_block") + F.col("base"))
     return running.groupBy("term").agg(
         F.count("*").alias("df"), F.max("ordinal").alias("last_ordinal"), F.log(F.max("ordinal") / F.count("*")).alias("idf"), F.max(F.log(F.col("ordinal") / F.col("rdf"))).alias("top_idf")
     )

@@ -72,8 +72,12 @@ def region_counts(queries: DataFrame, prints: DataFrame, cfg: EngineConfig = Eng
     return met.groupBy("qid", "id").agg(*[F.sum((F.col("r") == i).cast("int")).alias(f"i_{n}") for i, (n, *_) in enumerate(cfg.regions)])
 
 
+def _within(lo: int, hi: int):
+    return lambda b: (b >= lo) & (b < hi)
+
+
 def region_sizes(df: DataFrame, prefix: str, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    return df.withColumns({f"{prefix}_{n}": F.size(F.filter("bits", lambda b, lo=lo, hi=hi: (b >= lo) & (b < hi))) for n, lo, hi, _ in cfg.regions})
+    return df.withColumns({f"{prefix}_{n}": F.size(F.filter("bits", _within(lo, hi))) for n, lo, hi, _ in cfg.regions})
 
 
 def jaccard(inter: Column, a: Column, b: Column) -> Column:
@@ -88,11 +92,13 @@ def semantic(queries: DataFrame, prints: DataFrame, k: int, cfg: EngineConfig =
         cand = prints.select("id").join(queries.select("qid"))  # a stated query set against all rows
     else:
         cand = band_candidates(queries, prints, 2, lsh == "faithful", cfg).select("qid", "id")
-    q, d = region_sizes(queries, "q", cfg).drop("bits"), region_sizes(prints, "d", cfg).drop("bits")
-    pairs = cand.join(region_counts(queries, prints, cfg), ["qid", "id"], "left").join(q, "qid").join(d, "id")
+    q = region_sizes(queries, "q", cfg).withColumnRenamed("bits", "qb")
+    d = region_sizes(prints, "d", cfg).withColumnRenamed("bits", "db")
+    pairs = cand.join(q, "qid").join(d, "id").withColumn("both", F.array_intersect("qb", "db"))
     score = F.lit(0.0)
-    for n, _, _, w in cfg.regions:
-        score = score + w * jaccard(F.coalesce(f"i_{n}", F.lit(0)), F.col(f"q_{n}"), F.col(f"d_{n}"))
+    for n, lo, hi, w in cfg.regions:
+        shared = F.size(F.filter("both", _within(lo, hi)))
+        score = score + w * jaccard(shared, F.col(f"q_{n}"), F.col(f"d_{n}"))
     return top_k(pairs.select("qid", "id", score.alias("score")), k)
 
 
