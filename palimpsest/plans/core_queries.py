@@ -14,6 +14,7 @@ from palimpsest.config import EngineConfig
 from palimpsest.functions.hashing import band_hashes, hash_feature
 from palimpsest.functions.text import n_pairs, n_words, tokens
 from palimpsest.operators import chunker, corpus, encode, evaluate, retrieval
+from palimpsest.session import stage
 from palimpsest.sources.tables import table
 from palimpsest.store import effective, live, search
 
@@ -338,12 +339,13 @@ def reranked(spark, d):
 def hybrid_search(spark, d):
     """Texts chunked, encoded and indexed, then searched by both lanes; the semantic lane takes candidates from bands with bits."""
     docs = _docs(spark, d)
-    parts = chunker.with_ids(chunker.chunks_of(docs)).select("parent_id", "chunk_id", "pos", "text")
+    parts = stage(chunker.with_ids(chunker.chunks_of(docs)).select("parent_id", "chunk_id", "pos", "text"), "chunks")
     keyed = parts.select(F.col("chunk_id").alias("doc_id"), "text")
-    post, stats, lens = _lexicon(keyed)
-    idf = corpus.sequential_idf(docs)
+    post = stage(corpus.postings(keyed), "postings")
+    stats, lens = stage(corpus.term_stats(post), "stats"), post.groupBy("id").agg(F.sum("tf").alias("len"))
+    idf = stage(corpus.sequential_idf(docs), "idf")
     top = idf.agg(F.max("top_idf")).first()[0] or 0.0
-    prints = encode.encode_texts(keyed, "doc_id", idf, top).withColumn("kind", F.lit("text"))
+    prints = stage(encode.encode_texts(keyed, "doc_id", idf, top).withColumn("kind", F.lit("text")), "prints")
     tables = {"docs": docs, "chunks": parts, "postings": post, "lengths": lens, "stats": stats, "idf": idf, "prints": prints}
     return search(_asked(docs), tables, 10, CFG, "nonzero").select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
