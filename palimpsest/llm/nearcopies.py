@@ -143,7 +143,7 @@ def signatures(rec_sizes: np.ndarray, flat: np.ndarray, freq: np.ndarray, join:
 
 _WORD = re.compile(rb"[a-z0-9]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_SETS = "id long, grp long, toks array<long>, h1 long, h2 long"
+_SETS = "id long, grp long, toks array<long>, occ array<long>, h1 long, h2 long"
 
 
 def shingle_hashes(text: str, words: int, known: dict[bytes, int]) -> np.ndarray:
@@ -167,25 +167,34 @@ def shingle_hashes(text: str, words: int, known: dict[bytes, int]) -> np.ndarray
     return np.unique(run)
 
 
+def occupied(hashes: np.ndarray) -> np.ndarray:
+    """Which of 1,024 places, by the highest ten bits, the hashes fall in, as sixteen 64-bit words."""
+    at = (hashes >> np.uint64(54)).astype(np.int64)
+    words = np.zeros(16, np.uint64)
+    np.bitwise_or.at(words, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    return words.view(np.int64)
+
+
 def _shingler(words: int, min_size: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in batches:
             ids, grps, texts = batch.column("id").to_numpy(), batch.column("grp").to_numpy(), batch.column("text")
-            keep, toks, h1, h2 = [], [], [], []
+            keep, toks, occ, h1, h2 = [], [], [], [], []
             for i in range(len(ids)):
                 u = shingle_hashes(texts[i].as_py(), words, known)
                 if len(u) >= min_size:
                     keep.append(i)
                     toks.append(u.view(np.int64))
+                    occ.append(occupied(u))
                     raw = u.tobytes()
                     h1.append(xxhash.xxh64_intdigest(raw))
                     h2.append(xxhash.xxh3_64_intdigest(raw))
             if keep:
                 offsets = np.concatenate([[0], np.cumsum([len(t) for t in toks])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[keep]), pa.array(grps[keep]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(toks))), pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(np.array(h2, np.uint64).view(np.int64))],
-                    names=["id", "grp", "toks", "h1", "h2"],
+                    [pa.array(ids[keep]), pa.array(grps[keep]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(toks))), pa.ListArray.from_arrays(pa.array(np.arange(0, 16 * len(occ) + 1, 16, dtype=np.int32)), pa.array(np.concatenate(occ))), pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(np.array(h2, np.uint64).view(np.int64))],
+                    names=["id", "grp", "toks", "occ", "h1", "h2"],
                 )
 
     return sets
@@ -236,7 +245,7 @@ def classes(records: DataFrame, id_col: str, grp_col: str, text: Column, words:
     reps = heads.select(F.col("rep").alias("id"), "h1", "h2", F.col("cgrp"))
     sets = df.drop("grp").join(reps, ["id", "h1", "h2"]).dropDuplicates(["id", "h1", "h2"])
     # an id logged with two different texts keeps both, under the classes' own ids
-    return Classes(members, sets.select("id", F.col("cgrp").alias("grp"), F.size("toks").alias("size"), "toks"))
+    return Classes(members, sets.select("id", F.col("cgrp").alias("grp"), F.size("toks").alias("size"), "occ", "toks"))
 
 
 def similar_sets(sets: DataFrame, join: Join) -> DataFrame:
@@ -254,8 +263,8 @@ def similar_sets(sets: DataFrame, join: Join) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(2.6 * shingles_total / _PART_ROWS))
     keys = keys.repartition(parts, "key")
     # keys that only one group, or only one side, has need no join; the same exchange serves count and join
-    live = keys.groupBy("key").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.sum((F.col("role") == INDEX).cast("long")).alias("n_index"), F.sum((F.col("role") == PROBE).cast("long")).alias("n_probe"))
-    live = live.where("g0 <> g1 and n_index > 0 and n_probe > 0").select("key", "n_index")
+    live = keys.groupBy("key").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.sum((F.col("role") == INDEX).cast("long")).alias("n_index"), F.sum((F.col("role") == PROBE).cast("long")).alias("n_probe"), F.min("id").alias("i0"), F.max("id").alias("i1"), F.min("size").alias("s0"))
+    live = live.where("g0 <> g1 and i0 <> i1 and s0 > 0 and n_index > 0 and n_probe > 0").select("key", "n_index")
     rows = stage(keys.join(live.hint("shuffle_hash"), "key", "left").where(f"n_index is not null or role = {LEFTOVER}"), "keys")
     left = rows.where(f"role = {LEFTOVER}").select("id").distinct()
 
@@ -286,12 +295,18 @@ def _by_shingle(sets: DataFrame, left: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     """The candidates whose similarity, counted on the whole sets, reaches the threshold."""
-    a = sets.select(F.col("id").alias("a"), F.col("toks").alias("ta"))
-    b = sets.select(F.col("id").alias("b"), F.col("toks").alias("tb"))
-    both = pairs.join(a, "a").join(b, "b")
-    shared = F.size(F.array_intersect("ta", "tb"))
     t = join.threshold
-    return both.where(shared * (1 + t) >= (F.size("ta") + F.size("tb")) * t - 1e-9).select("a", "b")
+
+    def enough(shared: Column) -> Column:
+        return shared * (1 + t) >= (F.col("sa") + F.col("sb")) * t - 1e-9
+
+    # a place that one set occupies and the other doesn't holds at least one element that is not shared: a short
+    # upper bound of what is shared spares most candidates the whole sets
+    few = pairs.join(sets.select(F.col("id").alias("a"), F.col("size").alias("sa"), F.col("occ").alias("oa")), "a").join(sets.select(F.col("id").alias("b"), F.col("size").alias("sb"), F.col("occ").alias("ob")), "b")
+    alone = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda n, c: n + c)
+    few = few.where(enough(F.least(F.col("sa") - alone("oa", "ob"), F.col("sb") - alone("ob", "oa")))).select("a", "b", "sa", "sb")
+    both = few.join(sets.select(F.col("id").alias("a"), F.col("toks").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("toks").alias("tb")), "b")
+    return both.where(enough(F.size(F.array_intersect("ta", "tb")))).select("a", "b")
 
 
 def similar_records(c: Classes, join: Join) -> DataFrame:
