@@ -21,30 +21,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.session import stage
 
 BITS = 10240
-_PER_BUCKET = 200
-_BLOCK = 2_000
-_KEYS = "key long, id long, deeper array<long>, own boolean"
+_PER_BUCKET = 200  # vectors a bucket's rows are joined for; those of a larger one are compared in blocks
+_BLOCK = 20_000
+_TILE = 4_000_000  # pairs of a block compared at once
+_KEYS = "key long, id long, own boolean"
 
 
 @dataclass(frozen=True)
 class Hashing:
-    """p of the stable law, functions per key, bucket width on the natural logarithm, tables, perturbed probes per table.
-
-    `deeper` more functions, three at a time, split buckets of more than a few hundred vectors.
-    """
+    """p of the stable law, functions per key, bucket width on the natural logarithm, tables, perturbed probes per table."""
 
     p: float = 0.15
     functions: int = 5
     width: float = 3.0
     tables: int = 24
     probes: int = 4
-    deeper: int = 12
     seed: int = 20240101
 
 
@@ -64,26 +62,24 @@ def probe_order(m: int, probes: int) -> list[tuple[int, ...]]:
     return out
 
 
-def projections(h: Hashing, part: int, functions: int) -> tuple[np.ndarray, np.ndarray]:
-    """The stable random vectors (bits x tables x functions) and the offsets of one part of the functions."""
-    rng = np.random.default_rng((h.seed, part))
-    shape = (BITS, h.tables * functions)
+def projections(h: Hashing) -> tuple[np.ndarray, np.ndarray]:
+    """The stable random vectors (bits x tables x functions) and the offsets."""
+    rng = np.random.default_rng((h.seed, 0))
+    shape = (BITS, h.tables * h.functions)
     angle, wait = rng.uniform(-np.pi / 2, np.pi / 2, shape), rng.exponential(size=shape)
     draw = np.sin(h.p * angle) / np.cos(angle) ** (1 / h.p) * (np.cos((1 - h.p) * angle) / wait) ** ((1 - h.p) / h.p)
     return draw, rng.uniform(size=shape[1])
 
 
-def _hasher(h: Hashing, steps: int):
-    """Keys of a batch of vectors: their own bucket of each table and the perturbed ones; `steps` deeper keys with each."""
+def _hasher(h: Hashing):
+    """Keys of a batch of vectors: their own bucket of each table and the perturbed ones."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, per = h.functions, h.functions + 3 * steps
-        parts = [projections(h, i, m if i == 0 else 3) for i in range(steps + 1)]
-        shaped = [(d.reshape(BITS, h.tables, -1), o.reshape(h.tables, -1)) for d, o in parts]
-        draw, offset = np.concatenate([d for d, _ in shaped], 2).reshape(BITS, -1), np.concatenate([o for _, o in shaped], 1).reshape(-1)
+        m = h.functions
+        draw, offset = projections(h)
         rng = np.random.default_rng(h.seed + 1)
         table_salt = rng.integers(1, 2**62, h.tables).astype(np.int64)
-        salt = rng.integers(1, 2**62, (h.functions + h.deeper, h.tables)).astype(np.int64).T[:, :per] | 1
+        salt = rng.integers(1, 2**62, (m, h.tables)).astype(np.int64).T | 1
         order_sets = probe_order(m, h.probes)
         for batch in batches:
             all_ids, lists = batch.column("id").to_numpy(), batch.column("bits")
@@ -98,33 +94,107 @@ def _hasher(h: Hashing, steps: int):
                     y[:, c : c + 64] = np.add.reduceat(draw[values[base[lo] : base[hi]], c : c + 64], start, axis=0)
                 f = np.log(np.maximum(np.abs(y), 1e-300)) / h.width + offset
                 cell = np.floor(f)
-                inside = (f - cell).reshape(n, h.tables, per)
-                code = (cell.astype(np.int64) * 2 + (y > 0)).reshape(n, h.tables, per)
+                inside = (f - cell).reshape(n, h.tables, m)
+                code = (cell.astype(np.int64) * 2 + (y > 0)).reshape(n, h.tables, m)
                 with np.errstate(over="ignore"):
-                    part = code * salt
-                    key = part[:, :, :m].sum(2) + table_salt
-                    deep = np.stack([part[:, :, m + 3 * i : m + 3 * i + 3].sum(2) for i in range(steps)], 2) if steps else np.empty((n, h.tables, 0), np.int64)
-                    walls = np.concatenate([inside[:, :, :m], 1 - inside[:, :, :m]], 2)
-                    near = np.argsort(walls, axis=2)
+                    key = (code * salt).sum(2) + table_salt
+                    near = np.argsort(np.concatenate([inside, 1 - inside], 2), axis=2)
                     found = [key]
                     for ranks in order_sets:
                         moved = key.copy()
                         for r in ranks:
                             w = near[:, :, r]
                             function, up = w % m, np.where(w < m, -1, 1)
-                            moved += up * 2 * np.take_along_axis(np.broadcast_to(salt, (n, h.tables, per)), function[:, :, None], 2)[:, :, 0]
+                            moved += up * 2 * np.take_along_axis(np.broadcast_to(salt, (n, h.tables, m)), function[:, :, None], 2)[:, :, 0]
                         found.append(moved)
                 for i, k in enumerate(found):
-                    flat = deep.reshape(-1)
-                    offsets = np.arange(0, len(flat) + 1, steps or 1, dtype=np.int32) if steps else np.zeros(k.size + 1, np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(k.reshape(-1)), pa.array(np.repeat(ids, h.tables)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(np.full(k.size, i == 0))],
-                        names=["key", "id", "deeper", "own"],
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1)), pa.array(np.repeat(ids, h.tables)), pa.array(np.full(k.size, i == 0))], names=["key", "id", "own"])
 
     return keys
 
 
+@dataclass
+class _Vectors:
+    """Ids in order, numbers of bits, and each bit with the place of its vector."""
+
+    ids: np.ndarray
+    sizes: np.ndarray
+    bits: np.ndarray
+    at: np.ndarray
+
+    @classmethod
+    def of(cls, t: pa.Table) -> _Vectors:
+        t = t.sort_by("id").combine_chunks()
+        lists = t.column("bits").combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        return cls(t.column("id").to_numpy(), sizes, lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(sizes)), sizes))
+
+
+def _best(asked: _Vectors, stored: _Vectors, k: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids: each of `asked` with its k most similar of `stored`, ties by smaller id, or with all.
+
+    Bits that many vectors of both sides have are counted by a product of matrices, the others along their lists.
+    """
+    n, out = len(stored.ids), []
+    by_bit = np.argsort(stored.bits, kind="stable")
+    holders, held = stored.at[by_bit], np.bincount(stored.bits, minlength=BITS)
+    begin = np.cumsum(held) - held
+    step = max(1, _TILE // max(n, 1))
+    for lo in range(0, len(asked.ids) if n else 0, step):
+        ids, sizes = asked.ids[lo : lo + step], asked.sizes[lo : lo + step]
+        i, j = np.searchsorted(asked.at, [lo, lo + len(ids)])
+        bits, row = asked.bits[i:j], asked.at[i:j] - lo
+        common = np.bincount(bits, minlength=BITS) * held > len(ids) * n / 200
+        shared = np.zeros((len(ids), n), np.float32)
+        dense = np.nonzero(common)[0]
+        for c in range(0, len(dense), 512):
+            column = np.full(BITS, -1)
+            column[dense[c : c + 512]] = np.arange(len(dense[c : c + 512]))
+            left, right = np.zeros((len(ids), 512), np.float32), np.zeros((n, 512), np.float32)
+            x, y = column[bits], column[stored.bits]
+            left[row[x >= 0], x[x >= 0]] = 1
+            right[stored.at[y >= 0], y[y >= 0]] = 1
+            shared += left @ right.T
+        bits, row = bits[~common[bits]], row[~common[bits]]
+        total = np.cumsum(held[bits])
+        done = 0
+        while done < len(bits):
+            upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + _TILE, "right")))
+            count = held[bits[done:upto]]
+            within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            np.add.at(shared.reshape(-1), np.repeat(row[done:upto] * n, count) + holders[np.repeat(begin[bits[done:upto]], count) + within], 1)
+            done = upto
+        # similarities differ by 1 / BITS^2 at least, so the place, which is the order of ids, only parts ties
+        far = np.arange(n) * 1e-13 - shared / (sizes[:, None] + stored.sizes[None, :] - shared.astype(float))
+        own = np.minimum(np.searchsorted(stored.ids, ids), n - 1)
+        same = np.nonzero(stored.ids[own] == ids)[0]
+        far[same, own[same]] = 2
+        if k is None or k >= n:
+            r, c = np.nonzero(far < 2)
+        else:
+            c = np.argpartition(far, k - 1, axis=1)[:, :k]
+            r, keep = np.repeat(np.arange(len(ids)), k), np.take_along_axis(far, c, 1).reshape(-1) < 2
+            r, c = r[keep], c.reshape(-1)[keep]
+        out.append((ids[r], stored.ids[c]))
+    return (np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])) if out else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+STORED, OWN, PROBING = 0, 1, 2
+
+
+def _comparer(k: int | None):
+    def compare(t: pa.Table) -> pa.Table:
+        stored, own, probing = (_Vectors.of(t.filter(pc.equal(t.column("role"), role))) for role in (STORED, OWN, PROBING))
+        found = [_best(own, stored, k), _best(probing, stored, k)]
+        if k is not None:
+            found.append(_best(stored, probing, k))  # a vector's neighbour may be one that only looked in
+        x, y = (np.concatenate([f[side] for f in found]) for side in (0, 1))
+        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return compare
+
+
 def clean_bits(bits: Column) -> Column:
     """Sorted distinct positions within the fingerprint; null has none."""
     return F.array_sort(F.array_distinct(F.filter(F.coalesce(bits, F.array().cast("array<int>")), lambda b: (b >= 0) & (b < BITS))))
@@ -137,41 +207,41 @@ def newest_fingerprints(fingerprints: DataFrame) -> DataFrame:
     return newest.select("chunk_id", clean_bits(F.col("r.bits")).alias("bits"))
 
 
-def candidate_pairs(sets: DataFrame, h: Hashing) -> DataFrame:
+def candidate_pairs(sets: DataFrame, h: Hashing, k: int | None = None) -> DataFrame:
     """(a, b) with a < b of `sets` (id, bits) that some table brings together.
 
-    Buckets of more than a few hundred vectors are split by further hash functions of their own
-    (both for what is stored and for what is looked up), up to four times. A bucket that stays large
-    holds vectors alike in all those functions; it is joined whole, its rows salted over tasks.
+    The rows of a bucket of more than a few hundred vectors are not joined: all that are stored in it or look into it
+    are compared there, exactly, in blocks of vectors, and with a `k` only each one's k most similar are given.
     """
-    splits: list[DataFrame] = []
-    while True:
-        keys = sets.mapInArrow(_hasher(h, len(splits)), _KEYS)
-        for i, crowded in enumerate(splits):
-            keys = keys.join(crowded, "key", "left").withColumn("key", F.when(F.col("split"), F.xxhash64("key", F.col("deeper")[i])).otherwise(F.col("key"))).drop("split")
-        keys = stage(keys.drop("deeper"), "buckets")
-        crowded = keys.where("own").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > _PER_BUCKET).select("key", F.lit(True).alias("split"))
-        if len(splits) == h.deeper // 3 or not (crowded := stage(crowded, "crowded")).take(1):
-            break
-        splits.append(crowded)
+    keys = stage(sets.mapInArrow(_hasher(h), _KEYS), "buckets")
     sizes = keys.where("own").groupBy("key").agg(F.count("*").alias("n"))
-    salts = F.ceil(F.col("n") / _BLOCK).cast("int")
-    stored = keys.where("own").select("key", F.col("id").alias("x"))
-    large = stage(sizes.where(F.col("n") > _BLOCK).select("key", salts.alias("salts")), "large")
-    if large.take(1):
-        stored = stored.join(large, "key", "left").select("key", "x", F.pmod(F.xxhash64("x"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
-        asked = keys.select("key", "id", "own").join(large, "key", "left").select("key", "id", "own", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
-        met = asked.join(stored, ["key", "salt"])
-    else:
-        met = keys.select("key", "id", "own").join(stored, "key")
+    crowded = stage(sizes.where(F.col("n") > _PER_BUCKET), "crowded")
+    some = bool(crowded.take(1))
+    rows = keys.join(crowded, "key", "left_anti") if some else keys
+    met = rows.join(rows.where("own").select("key", F.col("id").alias("x")), "key")
     met = met.where((~F.col("own") & (F.col("id") != F.col("x"))) | (F.col("id") < F.col("x")))
-    return met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+    pairs = met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
+    if some:
+        pairs = pairs.unionByName(_compared(keys.join(crowded.select("key"), "key", "left_semi"), sets, k))
+    return pairs.distinct()
+
+
+def _compared(keys: DataFrame, sets: DataFrame, k: int | None) -> DataFrame:
+    """(a, b) of the buckets' vectors. Every block of stored vectors meets every block of those that look in."""
+    blocks = lambda n: F.ceil(F.col(n) / _BLOCK).cast("int")
+    sizes = keys.groupBy("key").agg(F.count_if("own").alias("n"), F.count("*").alias("m")).select("key", blocks("n").alias("n"), blocks("m").alias("m"))
+    rows = keys.join(sizes, "key").join(sets.select("id", F.col("bits").cast("array<short>").alias("bits")), "id")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    stored = rows.where("own").select("key", block("n").alias("of"), each("m").alias("to"), "id", "bits", F.lit(STORED).alias("role"))
+    asked = rows.select("key", each("n").alias("of"), block("m").alias("to"), "id", "bits", F.when(F.col("own"), OWN).otherwise(PROBING).alias("role"))
+    return stored.unionByName(asked).groupBy("key", "of", "to").applyInArrow(_comparer(k), "a long, b long")
 
 
-def similar_pairs(sets: DataFrame, h: Hashing) -> DataFrame:
+def similar_pairs(sets: DataFrame, h: Hashing, k: int | None = None) -> DataFrame:
     """(a, b, sim) of the candidates, with their exact Jaccard similarity."""
     a, b = sets.select(F.col("id").alias("a"), F.col("bits").alias("ba")), sets.select(F.col("id").alias("b"), F.col("bits").alias("bb"))
-    both = candidate_pairs(sets, h).join(a, "a").join(b, "b")
+    both = candidate_pairs(sets, h, k).join(a, "a").join(b, "b")
     shared = F.size(F.array_intersect("ba", "bb"))
     return both.select("a", "b", (shared / (F.size("ba") + F.size("bb") - shared)).alias("sim"))
 
@@ -187,7 +257,7 @@ def nearest(fingerprints: DataFrame, k: int = 5, h: Hashing = Hashing(), least:
     first = newest.select("h1", "h2", "chunk_id").withColumn("at", F.row_number().over(of_class)).where(F.col("at") <= k + 1)
     heads = stage(first.groupBy("h1", "h2").agg(F.min("chunk_id").alias("rep"), F.sort_array(F.collect_list("chunk_id")).alias("some")), "classes")
     sets = stage(newest.join(heads.select(F.col("rep").alias("chunk_id")), "chunk_id", "left_semi").select(F.col("chunk_id").alias("id"), "bits"), "sets")
-    near = stage(similar_pairs(sets, h).where(F.col("sim") >= least), "similar")
+    near = stage(similar_pairs(sets, h, k).where(F.col("sim") >= least), "similar")
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
     # the k best other classes hold the k best other members, since a class ranks by its smallest id
     best = both.withColumn("at", F.row_number().over(Window.partitionBy("a").orderBy(F.col("sim").desc(), "b"))).where(F.col("at") <= k)

@@ -58,6 +58,34 @@ def test_crowded_buckets_are_split(spark, monkeypatch):
     assert pairs.count() > 300
 
 
+def test_crowded_buckets_lose_nothing(spark, monkeypatch):
+    rnd = random.Random(6)
+    base, now = rnd.sample(range(10240), 56), datetime(2024, 1, 1)
+    rows = []
+    for i in range(300):
+        out = rnd.randrange(4, 20)
+        rows.append((i, "text", sorted(set(rnd.sample(base, 56 - out) + rnd.sample(range(10240), out))), now))
+    df = spark.createDataFrame(rows, "chunk_id long, kind string, bits array<int>, written_at timestamp_ntz")
+    found = []
+    for most, block in ((10**9, 10**9), (5, 100)):
+        monkeypatch.setattr(neighbours, "_PER_BUCKET", most)
+        monkeypatch.setattr(neighbours, "_BLOCK", block)
+        found.append({tuple(r) for r in neighbours.nearest(df).collect()})
+    assert found[0] == found[1] and len(found[0]) > 1000
+
+
+@pytest.mark.parametrize("tile", [900, 10**6])
+def test_best_of_a_crowded_bucket(monkeypatch, tile):
+    monkeypatch.setattr(neighbours, "_TILE", tile)
+    rnd = random.Random(8)
+    sets = {i: set(rnd.sample(range(30), rnd.randrange(1, 9))) | set(rnd.sample(range(10240), 5)) for i in rnd.sample(range(1000), 120)}
+    table = lambda ids: neighbours.pa.table({"id": ids, "bits": neighbours.pa.array([sorted(sets[i]) for i in ids], neighbours.pa.list_(neighbours.pa.int16()))})
+    asked, stored = list(sets)[:70], list(sets)[40:]
+    a, b = neighbours._best(neighbours._Vectors.of(table(asked)), neighbours._Vectors.of(table(stored)), 4)
+    want = {(i, j) for i in asked for j in sorted((j for j in stored if j != i), key=lambda j: (-len(sets[i] & sets[j]) / len(sets[i] | sets[j]), j))[:4]}
+    assert set(zip(a.tolist(), b.tolist())) == want
+
+
 def _sets(text, n):
     w = residue.re.findall(r"[a-z0-9]+", text.lower())
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
