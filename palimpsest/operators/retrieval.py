@@ -41,6 +41,14 @@ def bands(prints: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     return prints.select("id", band_hashes("bits", F.lit(cfg.lsh_bands), F.lit(cfg.lsh_rows)).alias("hashes"))
 
 
+def _filled(df: DataFrame, cfg: EngineConfig, name: str) -> DataFrame:
+    """`df` with the bands that have bits, (band, hash), as `name`."""
+    hashes, empty = f"{name}_h", f"{name}_e"
+    h = df.withColumns({hashes: band_hashes("bits", F.lit(cfg.lsh_bands), F.lit(cfg.lsh_rows)), empty: band_hashes(F.array().cast("array<int>"), F.lit(cfg.lsh_bands), F.lit(cfg.lsh_rows))})
+    on = F.filter(F.transform(hashes, lambda x, i: F.struct(i.alias("band"), x.alias("hash"), (x != F.col(empty)[i]).alias("on"))), lambda s: s.on)
+    return h.withColumn(name, on).drop(hashes, empty)
+
+
 def band_candidates(queries: DataFrame, prints: DataFrame, least: int = 2, empty_bands: bool = True, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """(qid, id, hits) of pairs that agree in at least `least` bands; `queries` (qid, bits), `prints` (id, bits).
 
@@ -48,13 +56,7 @@ def band_candidates(queries: DataFrame, prints: DataFrame, least: int = 2, empty
     the non-empty bands of either side and those both have. `empty_bands=False` leaves them out, which is
     selective where the faithful rule lets nearly every pair through.
     """
-    empty = band_hashes(F.array().cast("array<int>"), F.lit(cfg.lsh_bands), F.lit(cfg.lsh_rows))
-
-    def filled(df: DataFrame, ident: str) -> DataFrame:
-        h = df.select(ident, band_hashes("bits", F.lit(cfg.lsh_bands), F.lit(cfg.lsh_rows)).alias("h"), empty.alias("e"))
-        return h.select(ident, F.filter(F.transform("h", lambda x, i: F.struct(i.alias("band"), x.alias("hash"), (x != F.col("e")[i]).alias("on"))), lambda s: s.on).alias("b"))
-
-    q, d = filled(queries, "qid"), filled(prints, "id")
+    q, d = _filled(queries, cfg, "b").select("qid", "b"), _filled(prints, cfg, "b").select("id", "b")
     rows = lambda df, ident: df.select(ident, F.explode("b").alias("x")).select(ident, "x.band", "x.hash")
     met = rows(q, "qid").join(rows(d, "id"), ["band", "hash"]).groupBy("qid", "id").agg(F.count("*").alias("same"))
     if not empty_bands:
@@ -88,13 +90,20 @@ def jaccard(inter: Column, a: Column, b: Column) -> Column:
 
 def semantic(queries: DataFrame, prints: DataFrame, k: int, cfg: EngineConfig = EngineConfig(), lsh: str = "faithful") -> DataFrame:
     """(qid, id, score, rank) by region-weighted Jaccard of candidates. `lsh`: `faithful`, `nonzero` or `off`."""
-    if lsh == "off":
-        cand = prints.select("id").join(queries.select("qid"))  # a stated query set against all rows
-    else:
-        cand = band_candidates(queries, prints, 2, lsh == "faithful", cfg).select("qid", "id")
     q = region_sizes(queries, "q", cfg).withColumnRenamed("bits", "qb")
     d = region_sizes(prints, "d", cfg).withColumnRenamed("bits", "db")
-    pairs = cand.join(q, "qid").join(d, "id").withColumn("both", F.array_intersect("qb", "db"))
+    if lsh == "nonzero":
+        pairs = band_candidates(queries, prints, 2, False, cfg).select("qid", "id").join(q, "qid").join(d, "id")
+    elif lsh == "off":
+        pairs = d.join(q)  # a stated query set against all rows
+    else:
+        # nearly every pair passes, so each is met once and judged where it is scored
+        q, d = (_filled(x.withColumnRenamed(bits, "bits"), cfg, on).withColumnRenamed("bits", bits) for x, bits, on in ((q, "qb", "qon"), (d, "db", "don")))
+        q, d = (x.withColumn(f"{on}_at", F.transform(on, lambda s: s.band)) for x, on in ((q, "qon"), (d, "don")))
+        short = F.size("qon") + F.size("don") <= cfg.lsh_bands - 2  # so many bands are empty in both
+        hits = cfg.lsh_bands - F.size(F.array_union("qon_at", "don_at")) + F.size(F.array_intersect("qon", "don"))
+        pairs = d.join(q).where(short | (hits >= 2))
+    pairs = pairs.withColumn("both", F.array_intersect("qb", "db"))
     score = F.lit(0.0)
     for n, lo, hi, w in cfg.regions:
         shared = F.size(F.filter("both", _within(lo, hi)))

@@ -266,6 +266,16 @@ def lsh_candidates(spark, d):
     return retrieval.band_candidates(p.where("id % 20 = 0").withColumnRenamed("id", "qid"), p, 2, False)
 
 
+@query(f"""with {BANDS}, q as (select id as qid, list(band order by band) as qb from hashed where id % 20 = 0 and h <> void group by 1), e as (select id, list(band order by band) as eb from hashed where h <> void group by 1),
+ pairs as (select a.id as qid, b.id, 80 - len(list_distinct(list_concat(coalesce(qb, []), coalesce(eb, [])))) as void from newest a join newest b on a.id % 20 = 0 left join q on q.qid = a.id left join e on e.id = b.id),
+ met as (select x.id as qid, y.id, count(*) as same from hashed x join hashed y on x.band = y.band and x.h = y.h where x.id % 20 = 0 and x.h <> x.void group by 1, 2)
+ select qid, id, void + coalesce(same, 0) as hits from pairs left join met using (qid, id) where void + coalesce(same, 0) >= 2""")
+def lsh_candidates_faithful(spark, d):
+    """The reference's rule: bands empty in both count. `lsh_candidates` is the extension that leaves them out."""
+    p = _prints(spark, d)
+    return retrieval.band_candidates(p.where("id % 20 = 0").withColumnRenamed("id", "qid"), p)
+
+
 # ---- lanes, fusion, parents, reranking
 LEX = f"""{POST}, q as (select doc_id as qid, unnest(t) as term from docs where doc_id % 20 = 0), qt as (select qid, term, count(*) as qtf from q group by 1, 2),
  tot as (select sum(cf) as total from stats), ql as (select doc_id as qid, len(t) as qlen from docs where doc_id % 20 = 0),
@@ -337,7 +347,7 @@ def reranked(spark, d):
 
 @query()
 def hybrid_search(spark, d):
-    """Texts chunked, encoded and indexed, then searched by both lanes; the semantic lane takes candidates from bands with bits."""
+    """Texts chunked, encoded and indexed, then searched by both lanes; the semantic lane counts bands empty in both, as the reference does."""
     docs = _docs(spark, d)
     parts = stage(chunker.with_ids(chunker.chunks_of(docs)).select("parent_id", "chunk_id", "pos", "text"), "chunks")
     keyed = parts.select(F.col("chunk_id").alias("doc_id"), "text")
@@ -347,7 +357,7 @@ def hybrid_search(spark, d):
     top = idf.agg(F.max("top_idf")).first()[0] or 0.0
     prints = stage(encode.encode_texts(keyed, "doc_id", idf, top).withColumn("kind", F.lit("text")), "prints")
     tables = {"docs": docs, "chunks": parts, "postings": post, "lengths": lens, "stats": stats, "idf": idf, "prints": prints}
-    return search(_asked(docs), tables, 10, CFG, "nonzero").select("qid", "id", F.round("score", 6).alias("score"), "rank")
+    return search(_asked(docs), tables, 10, CFG).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
 # ---- dense vectors

@@ -57,6 +57,26 @@ def test_jaccard_and_bands(spark):
     assert hits == {1: 79, 2: 80, 3: 79}  # one filled band differs, all others are empty in both
 
 
+def test_short_texts_are_candidates(spark):
+    rows = [(i, [100 * i, 100 * i + 7, 5000 + 40 * i, 9000 + i]) for i in range(1, 30)] + [(30, [101, 109, 5041, 9002]), (31, [])] + [(32 + i, list(range(128 * i, 10240, 200 - i))) for i in range(3)]
+    prints = spark.createDataFrame(rows, "id long, bits array<int>")
+    q = prints.where("id = 1 or id >= 31").withColumnRenamed("id", "qid")
+    passed = {(r.qid, r.id) for r in retrieval.band_candidates(q, prints).collect()}
+    assert {(r.qid, r.id) for r in retrieval.semantic(q, prints, 100).collect()} == passed
+    assert (1, 30) in passed and len(passed) > 100
+    assert (1, 30) not in {(r.qid, r.id) for r in retrieval.semantic(q, prints, 100, lsh="nonzero").collect()}
+
+
+def test_flagship_takes_the_reference_rule(spark, monkeypatch):
+    from palimpsest.plans import core_queries
+
+    assert "lsh_candidates_faithful" in core_queries.QUERIES
+    rules, semantic = [], retrieval.semantic
+    monkeypatch.setattr(retrieval, "semantic", lambda q, p, k, cfg, lsh="faithful": rules.append(lsh) or semantic(q, p, k, cfg, lsh))
+    core_queries.hybrid_search(spark, "/root/testdata/sf0.001")
+    assert rules == ["faithful"]
+
+
 def test_fusion(spark):
     lane = "qid long, id long, score double, rank int"
     sem = spark.createDataFrame([(1, 0, 1.0, 1), (1, 1, 0.8, 2)], lane)
