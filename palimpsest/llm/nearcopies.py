@@ -31,7 +31,6 @@ SKETCH = 1 << 20  # counters of shingle frequencies that guide the costs; a fixe
 _SLICE = 400_000  # shingles worked on at once
 _PART_ROWS = 1_500_000
 _HOT_KEY = 4_000  # index rows of one key that one task joins; more are salted
-COPIES_SHOWN = 64
 _KEYS = "key long, id long, grp long, size int, role byte"
 INDEX, PROBE, LEFTOVER = 0, 1, 2
 
@@ -227,7 +226,7 @@ def _keyer(join: Join, sketch):
 
 @dataclass
 class Classes:
-    """`members` (id, grp, rep, copies) of all records in scope; `sets` (id, grp, size, toks) of one per class."""
+    """`members` (id, grp, rep, copies: rows, repeated ones too) of all records in scope; `sets` (id, grp, size, toks) of one per class."""
 
     members: DataFrame
     sets: DataFrame
@@ -310,23 +309,14 @@ def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
 
 
 def similar_records(c: Classes, join: Join) -> DataFrame:
-    """(a, b) with a < b: records of different groups whose sets are similar.
-
-    Classes of up to COPIES_SHOWN copies are expanded; a larger one stands for all its copies by its first
-    record and its first record of another group, to which every other copy is paired.
-    """
+    """(a, b) with a < b: records of different groups whose sets are similar. Every copy of every class is shown."""
     links = stage(similar_sets(c.sets, join), "links")
     members = stage(c.members, "members")
-    heads = members.where(F.col("copies") > COPIES_SHOWN).groupBy("rep").agg(F.min(F.struct("id", "grp")).alias("h"))
-    others = members.join(heads, "rep").where(F.col("grp") != F.col("h.grp")).groupBy("rep").agg(F.min("id").alias("other"))
-    heads = heads.join(others, "rep", "left").select("rep", F.col("h.id").alias("h1"), F.col("other").alias("h2"))
-    members = members.join(heads, "rep", "left")
-    shown = members.where("h1 is null or id = h1 or id = h2").select("rep", "id", "grp")
-    a = shown.select(F.col("rep").alias("a"), F.col("id").alias("ia"), F.col("grp").alias("ga"))
-    b = shown.select(F.col("rep").alias("b"), F.col("id").alias("ib"), F.col("grp").alias("gb"))
+    a = members.select(F.col("rep").alias("a"), F.col("id").alias("ia"), F.col("grp").alias("ga"))
+    b = members.select(F.col("rep").alias("b"), F.col("id").alias("ib"), F.col("grp").alias("gb"))
     between = links.join(a, "a").join(b, "b")
-    several = members.where("copies > 1").select(F.col("rep").alias("r"), F.col("id").alias("ib"), F.col("grp").alias("gb"))
-    within = a.join(several, F.col("a") == F.col("r"))
+    several = members.where("copies > 1")
+    within = several.select("rep", F.col("id").alias("ia"), F.col("grp").alias("ga")).join(several.select("rep", F.col("id").alias("ib"), F.col("grp").alias("gb")), "rep").where("ia < ib")
     pairs = between.select("ia", "ga", "ib", "gb").unionByName(within.select("ia", "ga", "ib", "gb")).where("ga <> gb and ia <> ib")
     return pairs.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct()
 

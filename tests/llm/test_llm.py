@@ -115,6 +115,16 @@ def test_near_duplicates_are_exact(spark, threshold, words, least, monkeypatch):
     assert nearcopies.near_duplicate_pairs(df.where("seq >= 5000 and seq < 5002")).count() == 0
 
 
+def test_every_copy_of_a_large_class_is_paired(spark):
+    text = [f"v{j}" for j in range(60)]
+    rows = [(i, 1, " ".join(text)) for i in range(70)] + [(100, 2, " ".join(text[:58]))]
+    rows += [(200 + i, 200 + i // 2, " ".join(f"u{j}" for j in range(40))) for i in range(70)]
+    df = spark.createDataFrame(rows + rows[:9], "seq long, memory_id long, text string")
+    want = {(i, 100) for i in range(70)} | {(200 + i, 200 + j) for i in range(70) for j in range(i + 1, 70) if i // 2 != j // 2}
+    got = [tuple(r) for r in nearcopies.near_duplicate_pairs(df).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_sets_that_cannot_hold_the_budget(spark, monkeypatch):
     monkeypatch.setattr(nearcopies.Join, "segments", lambda self, band: np.full(len(band), 2, np.uint64))
     texts = [" ".join(f"v{j}" for j in range(30)), " ".join(f"v{j}" for j in range(2, 32))]
