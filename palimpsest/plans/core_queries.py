@@ -313,6 +313,33 @@ def lane_origins(spark, d):
     return o.groupBy("qid").agg(F.sum((F.col("a") > F.col("b")).cast("int")).alias("first_only"), F.sum((F.col("a") < F.col("b")).cast("int")).alias("second_only"), F.sum((F.col("a") == F.col("b")).cast("int")).alias("both"))
 
 
+# the reference fuses semantic with lexical; every mu of the lexical lane is a list of its own
+LISTS = LANES.replace("'dense'", "'lexical'").replace("qid, lane, memory_id", "qid, lane, mu, memory_id").replace("partition by qid, lane", "partition by qid, lane, mu")
+
+
+def _lists(spark, d):
+    """(qid, lane, id, c): what each list adds to the fused score."""
+    hits = table(spark, d, "lane_hits").where("score is not null and not isnan(score) and score <> -1e9 and lane in ('semantic', 'lexical')")
+    best = hits.groupBy("qid", "lane", "mu", F.col("memory_id").alias("id")).agg(F.max("score").alias("score"))
+    w = Window.partitionBy("qid", "lane", "mu")
+    cut = best.withColumn("rank", F.row_number().over(w.orderBy(F.round("score", 9).desc(), "id"))).where("rank <= 100")
+    spread = F.max("score").over(w) - F.min("score").over(w)
+    share = F.when(spread <= 1e-9, 1.0).otherwise((F.col("score") - F.min("score").over(w)) / spread)
+    return cut.select("qid", "lane", "id", ((1.0 / (CFG.rrf_k + F.col("rank"))) * (1 + share)).alias("c"))
+
+
+@query(f"with {LISTS} {TOP10.format(t='fused')}")
+def rrf_fusion_lexical(spark, d):
+    fused = _lists(spark, d).groupBy("qid", "id").agg(F.sum("c").alias("score"))
+    return retrieval.top_k(fused, 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"with {LISTS}, o as (select qid, id, max((lane = 'semantic')::int) as a, max((lane = 'lexical')::int) as b from part group by 1, 2) select qid, sum((a = 1 and b = 0)::int)::bigint as first_only, sum((a = 0 and b = 1)::int)::bigint as second_only, sum((a = 1 and b = 1)::int)::bigint as both from o group by 1")
+def lane_origins_lexical(spark, d):
+    o = _lists(spark, d).groupBy("qid", "id").agg(F.max((F.col("lane") == "semantic").cast("int")).alias("a"), F.max((F.col("lane") == "lexical").cast("int")).alias("b"))
+    return o.groupBy("qid").agg(F.sum((F.col("a") > F.col("b")).cast("int")).alias("first_only"), F.sum((F.col("a") < F.col("b")).cast("int")).alias("second_only"), F.sum((F.col("a") == F.col("b")).cast("int")).alias("both"))
+
+
 PARENTS = "parents as (select chunk_id, min(parent_memory_id) as parent_id from chunks where chunk_id is not null group by 1)"
 
 
@@ -322,6 +349,13 @@ def parent_scores(spark, d):
     return retrieval.to_parents(retrieval.fuse(_lanes(spark, d), 1 << 30), parents).select("qid", "id", F.round("score", 6).alias("score"))
 
 
+@query(f"with {LISTS}, {PARENTS} select qid, coalesce(parent_id, id) as id, round(max(score), 6) as score from fused left join parents on parents.chunk_id = fused.id group by 1, 2")
+def parent_scores_lexical(spark, d):
+    parents = table(spark, d, "chunks").where("chunk_id is not null").groupBy("chunk_id").agg(F.min("parent_memory_id").alias("parent_id"))
+    fused = _lists(spark, d).groupBy("qid", "id").agg(F.sum("c").alias("score"))
+    return retrieval.to_parents(fused, parents).select("qid", "id", F.round("score", 6).alias("score"))
+
+
 RERANK = f"""{LEX}, first as (select *, row_number() over (partition by qid order by round(score, 9) desc, id) as before from lex),
  seq as (select doc_id, row_number() over (order by doc_id) as ordinal from documents), runs as (select term, max(ordinal) as mo, count(*) as df from post join seq using (doc_id) group by 1),
  idf as (select term, ln(mo / df) as idf from runs),

@@ -85,6 +85,18 @@ def test_fusion(spark):
     assert got[0] == pytest.approx(2 * 2 / 61) and got[1] == got[2] == pytest.approx(1 / 62)
 
 
+@pytest.mark.parametrize("name", ["rrf_fusion_lexical", "lane_origins_lexical", "parent_scores_lexical"])
+def test_lexical_lists_are_fused(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    from palimpsest.plans import core_queries
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("lane_hits", "chunks"):
+        con.sql(f"create view {t} as select * from '{d}/{t}.parquet'")
+    assert sorted(tuple(r) for r in core_queries.QUERIES[name](spark, d).collect()) == sorted(con.sql(core_queries.ORACLE[name]).fetchall())
+
+
 def test_dense(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = {r.id: r.bits for r in encode.encode_vectors(df).collect()}
