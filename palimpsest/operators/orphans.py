@@ -115,7 +115,7 @@ def _fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if "down" in at:
             live = live & ~at["down"]
     if not codes:
-        return pd.DataFrame({"rel": [], "code": [], "period": []}).astype({"code": "int64", "period": "int32"})
+        return pd.DataFrame({"rel": pd.Series([], dtype=object), "code": np.empty(0, np.int64), "period": np.empty(0, np.int32)})
     return pd.DataFrame({"rel": rel, "code": np.concatenate(codes), "period": np.concatenate(periods)})
 
 

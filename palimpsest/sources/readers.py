@@ -46,23 +46,27 @@ def question_sessions(spark: SparkSession, path: str) -> DataFrame:
     return d.select("question_id", "question_type", "question", F.col("h.haystack_session_ids").alias("session"), "answers", F.array_join(line, "\n").alias("text"))
 
 
-_HEADER = struct.Struct("<8I")
+# fixed values: layout, first number and version of feature files
+FEATURE_HEADER, FEATURE_MAGIC, FEATURE_VERSION = "<4s7I", b"ADLV", 1
 
 
 def features_binary(spark: SparkSession, path: str) -> DataFrame:
-    """(vec_id, split, embedding, label) of feature files: eight 32-bit numbers (magic, version, train rows, test rows,
-    dimensions, classes, two spare), then both float32 matrices, then both label lists. Files of a wrong size give an error."""
+    """(vec_id, split, embedding, label) of feature files: four bytes and seven 32-bit numbers (magic, version, train rows, test rows,
+    dimensions, classes, two spare), then both float32 matrices, then both label lists. Files of another magic, version or size give an error."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column("content"):
                 b = raw.as_py()
-                _, _, train, test, dim, *_ = _HEADER.unpack_from(b)
+                head = struct.calcsize(FEATURE_HEADER)
+                if len(b) < head:
+                    raise ValueError("feature file without a header")
+                magic, version, train, test, dim, *_ = struct.unpack_from(FEATURE_HEADER, b)
                 n = train + test
-                if len(b) != _HEADER.size + n * dim * 4 + n * 4:
-                    raise ValueError("feature file of a wrong size")
-                x = np.frombuffer(b, "<f4", n * dim, _HEADER.size)
-                y = np.frombuffer(b, "<u4", n, _HEADER.size + n * dim * 4).astype(np.int32)
+                if (magic, version) != (FEATURE_MAGIC, FEATURE_VERSION) or len(b) != head + n * dim * 4 + n * 4:
+                    raise ValueError("feature file of another kind or size")
+                x = np.frombuffer(b, "<f4", n * dim, head)
+                y = np.frombuffer(b, "<u4", n, head + n * dim * 4).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32)), pa.array(x))
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(["train"] * train + ["test"] * test), lists, pa.array(y)], names=["vec_id", "split", "embedding", "label"])
 

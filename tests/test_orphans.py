@@ -35,6 +35,16 @@ def test_empty(spark):
     assert [r.kind for r in orphans(e([], WAL), e([(1, 1, 1, t(1), "")], CHUNKS), e([], POST), e([], PRINTS)).collect()] == ["missing"]
 
 
+def test_ranges_with_parents_alone(spark):
+    far = 90001
+    wal = spark.createDataFrame([(i, "insert", i, t(0)) for i in range(1, 5)] + [(9, "insert", far, t(0))], WAL)
+    chunks = spark.createDataFrame([(i, i, i, t(1), "x") for i in range(1, 5)] + [(50 + i, 1, far + i, t(1), "x") for i in range(40)], CHUNKS)
+    post = spark.createDataFrame([(1, 1), (6, 1)], POST)
+    prints = spark.createDataFrame([(2, "text", t(2)), (7, "text", t(2))], PRINTS)
+    got = {(r.src_table, r.src_key, r.kind) for r in orphans(wal, chunks, post, prints).collect()}
+    assert got == {("postings", 6, "missing"), ("fingerprints", 7, "missing")}
+
+
 def test_dictionary_of_sparse_and_text_keys(spark):
     for rows, kind in (([(10**15 * i,) for i in range(50)], "k long"), ([(f"key {i}",) for i in range(50)], "k string")):
         df = spark.createDataFrame(rows, kind)

@@ -25,7 +25,7 @@ def test_hash(word, value):
 
 def test_tokens(spark):
     df = spark.createDataFrame([("The quick-brown fox!!!",), ("Kelvin İstanbul",), ("...",), ("",), (None,)], "text string")
-    assert [r.t for r in df.select(tokens(F.col("text")).alias("t")).collect()] == [["the", "quick", "brown", "fox"], ["elvin", "stanbul"], [], [], []]
+    assert [r.t for r in df.select(tokens(F.col("text")).alias("t")).collect()] == [["two", "red", "foxes", "3x"], ["elvin", "stanbul"], [], [], []]
 
 
 def test_chunks(spark):
@@ -79,10 +79,11 @@ def test_flagship_takes_the_reference_rule(spark, monkeypatch):
 
 def test_fusion(spark):
     lane = "qid long, id long, score double, rank int"
-    sem = spark.createDataFrame([(1, 0, 1.0, 1), (1, 1, 0.8, 2)], lane)
-    lex = spark.createDataFrame([(1, 0, 0.9, 1), (1, 2, 0.7, 2)], lane)
-    got = {r.id: r.score for r in retrieval.fuse([sem, lex], 10, EngineConfig(rrf_k=60)).collect()}
-    assert got[0] == pytest.approx(2 * 2 / 61) and got[1] == got[2] == pytest.approx(1 / 62)
+    one = spark.createDataFrame([(7, 31, 5.0, 1), (7, 12, 4.0, 2), (7, 55, 1.0, 3)], lane)
+    two = spark.createDataFrame([(7, 12, -3.0, 1), (7, 90, -3.0, 2)], lane)
+    got = {r.id: r.score for r in retrieval.fuse([one, two], 10, EngineConfig(rrf_k=4)).collect()}
+    want = {31: 2 / 5, 12: 1.75 / 6 + 2 / 5, 55: 1 / 7, 90: 2 / 6}
+    assert got == pytest.approx(want)
 
 
 @pytest.mark.parametrize("name", ["rrf_fusion_lexical", "lane_origins_lexical", "parent_scores_lexical"])
@@ -160,6 +161,10 @@ def test_readers(spark, tmp_path):
 
     import numpy as np
 
-    raw = struct.pack("<8I", 1, 1, 1, 1, 2, 2, 0, 0) + np.array([1, 2, 3, 4], "<f4").tobytes() + np.array([0, 1], "<u4").tobytes()
+    raw = struct.pack("<4s7I", b"ADLV", 1, 1, 1, 2, 2, 0, 0) + np.array([1, 2, 3, 4], "<f4").tobytes() + np.array([0, 1], "<u4").tobytes()
     (tmp_path / "f.bin").write_bytes(raw)
     assert [(r.split, r.embedding, r.label) for r in readers.features_binary(spark, str(tmp_path / "f.bin")).collect()] == [("train", [1.0, 2.0], 0), ("test", [3.0, 4.0], 1)]
+    for bad in (raw[:20], b"NONE" + raw[4:], raw[:4] + struct.pack("<I", 2) + raw[8:], raw + b"x"):
+        (tmp_path / "bad.bin").write_bytes(bad)
+        with pytest.raises(Exception, match="feature file"):
+            readers.features_binary(spark, str(tmp_path / "bad.bin")).collect()
