@@ -218,12 +218,59 @@ def test_mixture(spark):
     assert mixing.mixture(df.where("false"), wanted).slots.count() == 0 and mixing.report(mixing.mixture(df, wanted.where("false"))).count() == 0
 
 
-def test_residue(spark):
-    model = residue.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))  # held-out sources need enough cases
-    assert model.held_out["precision"] >= 0.8 and model.held_out["recall"] >= 0.8
+@pytest.fixture(scope="module")
+def residue_model(spark):
+    return residue.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+
+
+def test_residue(spark, residue_model):
+    h = residue_model.held_out
+    assert h["documents"] > 0 and h["both"] >= 0.8 * (h["both"] + h["labels_only"])
     mine = spark.createDataFrame(
-        [(1, "Dear {{first_name}},\nyour export of {{title}} is ready.", None), (2, "404 Not Found", "x"), (3, "In the guide, put `{{ user }}` where the value belongs; the engine fills it in.", "x"), (4, None, None), (5, "", "x"), (6, "```\nHello {{x}}\n```", "x"), (7, "Please enable JavaScript to view this page.", "x")],
+        [(1, "Dear {{first_name}},\nyour export of {{title}} is ready.", None), (2, "404 Not Found", "x"), (3, "In the guide, put `{{ user }}` where the value belongs; the engine fills it in.", "x"), (4, None, None), (5, "", "x"), (6, "```\nHello {{x}}\n```", "x"), (7, "Please enable JavaScript to view this page.", "x"), (8, "a" * 60_000, "x"), (9, " \n ", "x")],
         "doc_id long, text string, kind string",
     )
-    assert {r.doc_id for r in residue.residue(mine, model).collect()} == {1, 2, 7}
+    assert {r.doc_id for r in residue.residue(mine.unionByName(mine.where("doc_id < 3")), residue_model).collect()} == {1, 2, 7}
     assert residue.residue(mine.withColumn("source", mine.kind).where("doc_id in (4, 5)")).count() == 0
+    assert {r.doc_id for r in residue.without_residue(mine.withColumn("source", mine.kind)).collect()} >= {4, 5}
+
+
+def _planted(rnd, known):
+    """Error pages of an invented house style; only with `known` one of the label phrases is on them."""
+    own = [f"Your {rnd.choice(['badge', 'key', 'pass'])} opens no {rnd.choice(['vault', 'drawer', 'shelf'])} today.", f"Ask the {rnd.choice(['warden', 'porter', 'keeper'])} to let you in.", "Ring the bell twice."]
+    rnd.shuffle(own)
+    return "\n".join([*(["Access denied"] if known else []), *own[:2]])
+
+
+def test_classifier_finds_what_the_labels_miss():
+    rnd = random.Random(12)
+    word = lambda: rnd.choice(["cache", "index", "lane", "shard", "chunk", "query", "merger", "token"])
+    plain = lambda: f"The {rnd.choice(['cold', 'warm', 'small'])} {word()} near the {word()} rebuilds the {word()} on day {rnd.randrange(90)}."
+    texts, truth = [], []
+    for i in range(900):
+        kind = i % 15
+        known = kind == 0 or kind == 1
+        page = known or kind == 2
+        texts.append(_planted(rnd, known) if page else "\n".join(plain() for _ in range(rnd.randrange(1, 9))))
+        if kind == 3:  # the phrase talked about beside content
+            texts[-1] += f"\nThe {word()} counts how often access denied was shown."
+        truth.append(page)
+    hosts = [f"h{rnd.randrange(20)}" for _ in texts]
+    s = residue.sampled(texts, hosts, frozenset(["the", "near", "rebuilds", "on", "day"]))
+    assert 0 < s.held.sum() < len(texts)
+    model = residue.learn(s, frozenset(["the", "near", "rebuilds", "on", "day"]))
+    said = np.array([k != "" for k in model.judge(s.docs, residue.Reader(model.common))])
+    truth = np.array(truth)
+    labelled = np.array([(residue.weak_labels(u)[0] == residue.ERROR).any() for u in s.docs])
+    missed = truth & ~labelled & s.held
+    assert missed.sum() >= 3 and said[missed].all()  # on unseen hosts, without any phrase
+    assert (said & truth & s.held).sum() >= 0.95 * (truth & s.held).sum() and not (said & ~truth).any()
+    assert residue.validate(s, model)["model_only"] >= 3
+
+
+def test_residue_of_one_host_and_of_texts_without_units():
+    s = residue.sampled(["One line.", "Forbidden"], ["a", "a"], frozenset())
+    assert not s.held.any() and residue.validate(s, residue.learn(s, frozenset()))["documents"] == 0
+    s = residue.sampled(["\u200b", "."], ["a", "b"], frozenset())
+    model = residue.learn(s, frozenset())
+    assert model.judge(s.docs, residue.Reader(frozenset())) == ["", ""] and residue.Reader(frozenset()).read([]).norm.size == 0
