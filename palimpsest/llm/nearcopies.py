@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 
 from palimpsest.session import stage
 
-SKETCH = 1 << 20  # counters of shingle frequencies that guide the costs; a fixed 4 MB at any size of the input
+_SKETCH_BITS = (16, 21)  # counters of shingle frequencies that guide the costs: one per eight shingles, 2^16 at least, 2^21 (8 MB) at most
 _SLICE = 400_000  # shingles worked on at once
 _PART_ROWS = 1_500_000
 _HOT_KEY = 4_000  # index rows of one key that one task joins; more are salted
+PAIRS_SHOWN = 1_000_000  # pairs of copies of two classes that are all shown
 _KEYS = "key long, id long, grp long, size int, role byte"
-INDEX, PROBE, LEFTOVER = 0, 1, 2
+INDEX, PROBE, LEFTOVER = 1, 2, 4  # a key may be in the index and ask it, too
 
 
 @dataclass(frozen=True)
@@ -112,8 +113,6 @@ def signatures(rec_sizes: np.ndarray, flat: np.ndarray, freq: np.ndarray, join:
         m = join.segments(band)
         g = _segmented(rec[keep], flat[keep], freq[keep], band[rec[keep]], m[rec[keep]])
         if not below:
-            every = np.arange(len(g["rec"]))
-            out.append((_full(g, every, 0), g["rec"], INDEX))
             k, r = _deleted(g, np.nonzero(g["count"] > 1)[0], 1)
             out.append((k, r, INDEX))
         # H + 1 units are needed; each segment offers one for equality and one more for a neighbourhood
@@ -131,12 +130,19 @@ def signatures(rec_sizes: np.ndarray, flat: np.ndarray, freq: np.ndarray, join:
         have = np.bincount(owner, minlength=n)
         short = reach & (have < need)
         equal, near = unit_group[taken[more[taken] == 0]], unit_group[taken[more[taken] == 1]]
-        out.append((_full(g, equal, 0), g["rec"][equal], PROBE))
+        if below:
+            out.append((_full(g, equal, 0), g["rec"][equal], PROBE))
+        else:  # all are in the index, and some ask it
+            asks = np.zeros(len(g["rec"]), bool)
+            asks[equal] = True
+            other = np.nonzero(~asks)[0]
+            out.append((_full(g, equal, 0), g["rec"][equal], INDEX | PROBE))
+            out.append((_full(g, other, 0), g["rec"][other], INDEX))
         out.append((_full(g, near, 1), g["rec"][near], PROBE))
         k, r = _deleted(g, near, 0)
         out.append((k, r, PROBE))
         left = np.nonzero(short)[0]
-        out.append((np.zeros(len(left), np.uint64), left, LEFTOVER))
+        out.append((_mix(left.astype(np.uint64)), left, LEFTOVER))  # under any key, spread
     return out
 
 
@@ -199,27 +205,51 @@ def _shingler(words: int, min_size: int):
     return sets
 
 
+def _frequency(sketch, values: np.ndarray) -> np.ndarray:
+    counts = np.frombuffer(sketch.value, np.int32)
+    return counts[(values % np.uint64(len(counts))).astype(np.int64)]
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(rows, their shingles as one array, their sizes) of so many rows at once."""
+    lists = batch.column("toks")
+    base, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+    lo, n = 0, len(base) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(base, base[lo] + _SLICE, "right")) - 1)
+        yield slice(lo, hi), values[base[lo] : base[hi]], np.diff(base[lo : hi + 1]).astype(np.int64)
+        lo = hi
+
+
+def _rows(key: np.ndarray, at: np.ndarray, ids: np.ndarray, grp: np.ndarray, sizes: np.ndarray, role: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[at]), pa.array(grp[at]), pa.array(sizes[at].astype(np.int32)), pa.array(role.astype(np.int8))], names=["key", "id", "grp", "size", "role"])
+
+
 def _keyer(join: Join, sketch):
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.frombuffer(sketch.value, np.int32)
         for batch in batches:
             ids, grp = batch.column("id").to_numpy(), batch.column("grp").to_numpy()
-            lists = batch.column("toks")
-            sizes_all = np.diff(lists.offsets.to_numpy())
-            base = lists.offsets.to_numpy()
-            values = lists.values.to_numpy().view(np.uint64)
-            lo = 0
-            while lo < len(ids):
-                hi = max(lo + 1, int(np.searchsorted(base, base[lo] + _SLICE, "right")) - 1)
-                flat, sizes = values[base[lo] : base[hi]], sizes_all[lo:hi].astype(np.int64)
-                freq = counts[(flat % np.uint64(SKETCH)).astype(np.int64)]
-                for key, r, role in signatures(sizes, flat, freq, join):
+            for rows, flat, sizes in _blocks(batch):
+                for key, r, role in signatures(sizes, flat, _frequency(sketch, flat), join):
                     if len(key):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(key.view(np.int64)), pa.array(ids[lo:hi][r]), pa.array(grp[lo:hi][r]), pa.array(sizes[r].astype(np.int32)), pa.array(np.full(len(key), role, np.int8))],
-                            names=["key", "id", "grp", "size", "role"],
-                        )
-                lo = hi
+                        yield _rows(key, r, ids[rows], grp[rows], sizes, np.full(len(key), role))
+
+    return keys
+
+
+def _prefixer(join: Join, sketch):
+    """Each set's rarest shingles, so many that two similar sets share one of them; `asks` tells which sets ask the index."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, grp, asks = batch.column("id").to_numpy(), batch.column("grp").to_numpy(), np.asarray(batch.column("asks").to_pylist(), bool)
+            for rows, flat, sizes in _blocks(batch):
+                rec = np.repeat(np.arange(len(sizes)), sizes)
+                order = np.lexsort((flat, _frequency(sketch, flat), rec))
+                place = np.arange(len(rec)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                first = place < (sizes - np.ceil(join.threshold * sizes - 1e-9).astype(np.int64) + 1)[rec]
+                key, at = flat[order][first], rec[first]
+                yield _rows(key, at, ids[rows], grp[rows], sizes, np.where(asks[rows][at], INDEX | PROBE, INDEX))
 
     return keys
 
@@ -251,21 +281,32 @@ def similar_sets(sets: DataFrame, join: Join) -> DataFrame:
     """(a, b) with a < b: ids of different sets of different groups with Jaccard similarity of at least the threshold."""
     spark = sets.sparkSession
     sets = stage(sets, "classes")
-    counted = sets.select(F.explode("toks").alias("t")).groupBy(F.expr(f"t & {SKETCH - 1}").cast("int").alias("at")).agg(F.count("*").alias("n"))
-    counted = counted.toArrow()  # at most SKETCH rows, as Arrow batches
-    freq, n = np.zeros(SKETCH, np.int32), counted["n"].to_numpy()
+    total = sets.agg(F.sum("size")).first()[0] or 0
+    width = 1 << min(max(int(total // 8).bit_length(), _SKETCH_BITS[0]), _SKETCH_BITS[1])
+    counted = sets.select(F.explode("toks").alias("t")).groupBy(F.expr(f"t & {width - 1}").cast("int").alias("at")).agg(F.count("*").alias("n"))
+    counted = counted.toArrow()  # at most `width` rows, as Arrow batches
+    freq, n = np.zeros(width, np.int32), counted["n"].to_numpy()
     freq[counted["at"].to_numpy()] = np.minimum(n, 2**31 - 1)
     sketch = spark.sparkContext.broadcast(freq.tobytes())
 
-    keys = sets.select("id", "grp", "toks").mapInArrow(_keyer(join, sketch), _KEYS)
-    shingles_total = int(n.sum())
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(2.6 * shingles_total / _PART_ROWS))
-    keys = keys.repartition(parts, "key")
-    # keys that only one group, or only one side, has need no join; the same exchange serves count and join
-    live = keys.groupBy("key").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.sum((F.col("role") == INDEX).cast("long")).alias("n_index"), F.sum((F.col("role") == PROBE).cast("long")).alias("n_probe"), F.min("id").alias("i0"), F.max("id").alias("i1"), F.min("size").alias("s0"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(2 * total / _PART_ROWS))
+    pairs, left = _meeting(sets.select("id", "grp", "toks").mapInArrow(_keyer(join, sketch), _KEYS), parts, join)
+    left = left.select("id").distinct()
+    if left.take(1):  # sets whose segments can't hold the budget meet all others on their rarest shingles
+        asking = sets.select("id", "grp", "toks").join(left.withColumn("asks", F.lit(True)), "id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+        pairs = pairs.unionByName(_meeting(asking.mapInArrow(_prefixer(join, sketch), _KEYS), parts, join)[0]).distinct()
+    return verified(pairs, sets, join)
+
+
+def _meeting(keys: DataFrame, parts: int, join: Join) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of different groups whose sets meet on a key and are of fitting sizes; and the LEFTOVER rows. Hot keys are salted."""
+    # one exchange, which is used again: for the sides that a key has, and for its rows. The condition is on both uses alike
+    keys = keys.where("key is not null").repartition(parts, "key")
+    side = lambda role: F.sum(F.col("role").bitwiseAND(role).cast("boolean").cast("long"))
+    live = keys.groupBy("key").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"), side(INDEX).alias("n_index"), side(PROBE).alias("n_probe"), F.min("id").alias("i0"), F.max("id").alias("i1"), F.min("size").alias("s0"))
     live = live.where("g0 <> g1 and i0 <> i1 and s0 > 0 and n_index > 0 and n_probe > 0").select("key", "n_index")
     rows = stage(keys.join(live.hint("shuffle_hash"), "key", "left").where(f"n_index is not null or role = {LEFTOVER}"), "keys")
-    left = rows.where(f"role = {LEFTOVER}").select("id").distinct()
+    left = rows.where(f"role = {LEFTOVER}")
 
     # of a hot key, the group with most rows need not meet itself
     hot = rows.where(F.col("n_index") > _HOT_KEY)
@@ -273,23 +314,11 @@ def similar_sets(sets: DataFrame, join: Join) -> DataFrame:
     rows = rows.where(f"role <> {LEFTOVER}").join(main, "key", "left")
     salts = F.ceil(F.col("n_index") / _HOT_KEY).cast("int")
     is_main = F.coalesce(F.col("grp") == F.col("main"), F.lit(False))
-    x = rows.where(f"role = {INDEX}").select("key", F.col("id").alias("x"), F.col("grp").alias("xg"), F.col("size").alias("xs"), is_main.alias("xm"), F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
-    y = rows.where(f"role = {PROBE}").select("key", F.col("id").alias("y"), F.col("grp").alias("yg"), F.col("size").alias("ys"), is_main.alias("ym"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    x = rows.where(f"role & {INDEX} <> 0").select("key", F.col("id").alias("x"), F.col("grp").alias("xg"), F.col("size").alias("xs"), is_main.alias("xm"), F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
+    y = rows.where(f"role & {PROBE} <> 0").select("key", F.col("id").alias("y"), F.col("grp").alias("yg"), F.col("size").alias("ys"), is_main.alias("ym"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     fits = (F.col("xs") <= F.col("ys")) & (F.col("xs") >= F.col("ys") * join.threshold - 1e-9) & (F.col("xg") != F.col("yg"))
     met = y.where("not ym").join(x, ["key", "salt"]).where(fits).unionByName(y.where("ym").join(x.where("not xm"), ["key", "salt"]).where(fits))
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-    if left.take(1):
-        pairs = pairs.unionByName(_by_shingle(sets, left)).distinct()
-    return verified(pairs, sets, join)
-
-
-def _by_shingle(sets: DataFrame, left: DataFrame) -> DataFrame:
-    """Pairs of the `left` sets with all sets of other groups that share a shingle: for sets whose segments can't hold the budget."""
-    one = sets.select("id", "grp", F.explode("toks").alias("t"))
-    few = one.join(left, "id", "left_semi").select("t", F.col("id").alias("y"), F.col("grp").alias("yg"))
-    met = few.join(one, "t").where((F.col("id") != F.col("y")) & (F.col("grp") != F.col("yg")))
-    return met.select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct()
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), left
 
 
 def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
@@ -308,17 +337,29 @@ def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     return both.where(enough(F.size(F.array_intersect("ta", "tb")))).select("a", "b")
 
 
-def similar_records(c: Classes, join: Join) -> DataFrame:
-    """(a, b) with a < b: records of different groups whose sets are similar. Every copy of every class is shown."""
+def similar_records(c: Classes, join: Join, most: int = PAIRS_SHOWN) -> DataFrame:
+    """(a, b) with a < b: records of different groups whose sets are similar.
+
+    Of two classes with no more than `most` pairs of copies (of one class, with itself) all pairs are shown. Of larger
+    ones, every copy is shown with the other class's first record and with its first of another group, so the rows
+    grow with the copies, not with their square; `near_duplicate_groups` has every record's class.
+    """
     links = stage(similar_sets(c.sets, join), "links")
     members = stage(c.members, "members")
-    a = members.select(F.col("rep").alias("a"), F.col("id").alias("ia"), F.col("grp").alias("ga"))
-    b = members.select(F.col("rep").alias("b"), F.col("id").alias("ib"), F.col("grp").alias("gb"))
-    between = links.join(a, "a").join(b, "b")
-    several = members.where("copies > 1")
-    within = several.select("rep", F.col("id").alias("ia"), F.col("grp").alias("ga")).join(several.select("rep", F.col("id").alias("ib"), F.col("grp").alias("gb")), "rep").where("ia < ib")
-    pairs = between.select("ia", "ga", "ib", "gb").unionByName(within.select("ia", "ga", "ib", "gb")).where("ga <> gb and ia <> ib")
-    return pairs.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct()
+    first = members.groupBy("rep").agg(F.min(F.struct("id", "grp")).alias("f"), F.countDistinct("id").alias("n"))
+    other = members.join(first.select("rep", "f"), "rep").where("grp <> f.grp").groupBy("rep").agg(F.min(F.struct("id", "grp")).alias("o"))
+    heads = stage(first.join(other, "rep", "left").select("rep", "n", F.filter(F.array("f", "o"), lambda h: h.isNotNull()).alias("heads")), "first-members")
+    side = lambda x: heads.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("heads").alias(f"h{x}"))
+    copies = lambda x: members.select(F.col("rep").alias(x), F.struct("id", "grp").alias(f"m{x}"))
+
+    meet = links.unionByName(heads.where("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+    meet = stage(meet.join(side("a"), "a").join(side("b"), "b").withColumn("few", F.col("na") * F.col("nb") <= most), "meeting")
+    every = meet.where("few").select("a", "b").join(copies("a"), "a").join(copies("b"), "b").select("ma", "mb")
+    many = meet.where("not few")
+    one = many.select("a", F.explode("hb").alias("mb")).join(copies("a"), "a").select("ma", "mb")
+    two = many.where("a <> b").select("b", F.explode("ha").alias("ma")).join(copies("b"), "b").select("ma", "mb")
+    pairs = every.unionByName(one).unionByName(two).where("ma.grp <> mb.grp and ma.id <> mb.id")
+    return pairs.select(F.least("ma.id", "mb.id").alias("a"), F.greatest("ma.id", "mb.id").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -349,7 +390,8 @@ def near_duplicate_pairs(records: DataFrame, id_col: str = "seq", grp_col: str =
     """(a, b) of records of different `grp_col` whose sets of word runs have at least the threshold in common.
 
     Null and empty texts and those with fewer than `min_size` runs are no records; repeated rows count once; null
-    groups are one group; rows with a null id are ignored, as are extra columns.
+    groups are one group; rows with a null id are ignored, as are extra columns. Of classes with very many copies,
+    see `similar_records`, each copy is paired with representatives only.
     """
     c = classes(records, id_col, grp_col, F.col("text"), words, min_size)
     return similar_records(c, Join(threshold, min_size))

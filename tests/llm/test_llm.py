@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 
 pytest.importorskip("palimpsest.llm")
+from pyspark.sql import functions as F  # noqa: E402
+
 from palimpsest.llm import distinctive, mixing, nearcopies, neighbours, packing, rankfuse, residue, split, tokens  # noqa: E402
 
 
@@ -125,6 +127,22 @@ def test_every_copy_of_a_large_class_is_paired(spark):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_copies_beyond_the_pairs_shown_meet_representatives(spark):
+    text, near, alone = ([f"{w}{j}" for j in range(60)] for w in "vzu")
+    near = text[:58]
+    rows = [(i, 1, " ".join(text)) for i in range(70)] + [(100 + i, 2 + i % 2, " ".join(near)) for i in range(30)]
+    rows += [(200 + i, 200 + i // 2, " ".join(alone)) for i in range(70)]
+    df = spark.createDataFrame(rows + rows[:9], "seq long, memory_id long, text string")
+    c = nearcopies.classes(df, "seq", "memory_id", F.col("text"), 3, 15)
+    got = {tuple(r) for r in nearcopies.similar_records(c, nearcopies.Join(0.6, 15), most=500).collect()}
+    grp = {r[0]: r[1] for r in rows}
+    assert all(grp[a] != grp[b] for a, b in got) and {x for p in got for x in p} == set(grp)
+    assert {p for p in got if p[0] < 100} == {(i, b) for i in range(70) for b in (100, 101)} | {(0, b) for b in range(100, 130)}
+    assert {p for p in got if p[0] >= 200} == {(200, b) for b in range(202, 270)} | {(202, b) for b in range(203, 270) if b > 203} | {(201, 202)}
+    within = {p for p in got if 100 <= p[0] < 200}  # 900 pairs at most, above 500, too
+    assert within == {(min(x, h), max(x, h)) for h in (100, 101) for x in range(100, 130) if grp[x] != grp[h]}
+
+
 def test_sets_that_cannot_hold_the_budget(spark, monkeypatch):
     monkeypatch.setattr(nearcopies.Join, "segments", lambda self, band: np.full(len(band), 2, np.uint64))
     texts = [" ".join(f"v{j}" for j in range(30)), " ".join(f"v{j}" for j in range(2, 32))]
