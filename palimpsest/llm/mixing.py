@@ -23,6 +23,7 @@ from palimpsest.llm.tokens import TOKENIZER, plain_source, token_sizes
 from palimpsest.session import stage
 
 BLOCK, SHARD_SLOTS, BUCKET_DOCS, SEED = 128, 1024, 50_000, 11
+_EXACT = 10**9  # slots from which numpy draws no hypergeometric numbers
 _SLOTS = "out_shard long, slot int, source_no int, pass_no int, block long"
 
 
@@ -71,13 +72,37 @@ def plan(shares: list[Share], block: int, total_tokens: int | None = None) -> li
     return out
 
 
+def _drawn(here: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of `size` slots, taken at random from `here` slots per source, are each source's.
+
+    Hypergeometric, exactly, below _EXACT slots. Above, source by source given those before: rare sources by their
+    binomial limit, others by the normal one, whose errors are far below one standard deviation at such counts;
+    either way the sum is `size` and no source gives more than it has.
+    """
+    if here.sum() < _EXACT:
+        return rng.multivariate_hypergeometric(here, size, method="marginals")
+    out, rest = np.zeros_like(here), int(here.sum())
+    for i, k in enumerate(map(int, here)):
+        others, p = rest - k, size / max(rest, 1)
+        low, high = max(0, size - others), min(k, size)
+        if rest < _EXACT:
+            n = int(rng.hypergeometric(k, others, size)) if rest else 0
+        elif k < rest / 100:
+            n = int(rng.binomial(k, p))
+        else:
+            n = round(k * p + rng.standard_normal() * np.sqrt(k * p * (1 - p) * others / rest))
+        out[i] = n = min(max(n, low), high)
+        size, rest = size - n, others
+    return out
+
+
 def shard_counts(totals: np.ndarray, shards: int, slots: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(slots of each source before this shard, slots in it): a multinomial draw per shard given the totals."""
     lo, hi, before, here = 0, shards, np.zeros_like(totals), totals.copy()
     while hi - lo > 1:
         mid = (lo + hi) // 2
         size = min(slots * (mid - lo), int(here.sum()))
-        left = np.random.default_rng((seed, lo, hi)).multivariate_hypergeometric(here, size, method="marginals") if here.sum() else here
+        left = _drawn(here, size, np.random.default_rng((seed, lo, hi)))
         if shard < mid:
             hi, here = mid, left
         else:

@@ -181,6 +181,55 @@ def test_rankfuse(spark):
     assert flipped[0].memory_id == 0
 
 
+def _reference_fusion(rows):
+    """(qid, memory_id) to score, in NumPy: ranks, correlations over the queries that have both lists, first component."""
+    share = {}
+    for key in {(q, lane) for q, lane, _, _, _ in rows}:
+        s = {m: v for q, lane, _, m, v in rows if (q, lane) == key}
+        x = np.array(sorted(s.values()))
+        share[key] = {m: ((x < v).sum() + ((x == v).sum() + 1) / 2) / len(x) for m, v in s.items()}
+    lanes = sorted({k[1] for k in share})
+    of = {q: sorted({m for k, s in share.items() if k[0] == q for m in s}) for q in {k[0] for k in share}}
+
+    def column(lane, with_):
+        return np.array([share[q, lane].get(m, 0) for q in sorted(of) if (q, lane) in share and (q, with_) in share for m in of[q]])
+
+    corr = np.array([[np.corrcoef(column(a, b), column(b, a))[0, 1] for b in lanes] for a in lanes])
+    vec = np.linalg.eigh(corr)[1][:, -1]
+    w = {lane: v / column(lane, lane).std() for lane, v in zip(lanes, vec * np.sign(vec.sum()))}
+    return w, {(q, m): sum(w[k[1]] * s.get(m, 0) for k, s in share.items() if k[0] == q) for q in of for m in of[q]}
+
+
+def test_rankfuse_follows_the_component(spark):
+    rnd = random.Random(9)
+    rows = []
+    for q in range(60):
+        for m in range(12):
+            x = rnd.gauss(0, 1)
+            rows += [(q, "good", None, m, x + rnd.gauss(0, 0.2)), (q, "fair", None, m, 1e6 * (x + rnd.gauss(0, 0.6)))]
+            rows += [(q, "noise", None, m, rnd.gauss(0, 1e-9))] if q % 3 else []
+            rows += [(q, "against", None, m, -x + rnd.gauss(0, 0.5))] if m % 4 else []
+    w, want = _reference_fusion(rows)
+    assert w["against"] < -0.5 < 0.5 < w["good"] and abs(w["noise"]) < 0.5  # the lists have not the same say
+    df = spark.createDataFrame(rows, "qid long, lane string, mu double, memory_id long, score double")
+    got = {(r.qid, r.memory_id): r.fused for r in rankfuse.fused(df).collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
+    first = {q: max((v, -m) for (p, m), v in want.items() if p == q) for q in range(60)}
+    assert {tuple(r) for r in rankfuse.firsts(df).collect()} == {(q, -m) for q, (_, m) in first.items()}
+    turned = rankfuse.fused(df.where("lane <> 'against'").unionByName(df.where("lane = 'against'")), {"against": -1})
+    got = {(r.qid, r.memory_id): r.fused for r in turned.collect()}
+    _, want = _reference_fusion([(q, lane, mu, m, -v if lane == "against" else v) for q, lane, mu, m, v in rows])
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-9
+
+
+def test_rankfuse_with_continuous_mu_and_many_lanes(spark):
+    rows = [(q, "lex", 1000 + 0.5 * q, m, float(m)) for q in range(90) for m in range(3)] + [(q, f"l{q}", None, m, float(m)) for q in range(90) for m in range(3)]
+    df = spark.createDataFrame(rows, "qid long, lane string, mu double, memory_id long, score double")
+    ranked = rankfuse.with_kinds(rankfuse.rank_shares(df), 4)
+    assert {r.kind.lane for r in ranked.select("kind").distinct().collect()} == {"lex", "l0", "l1", "*"}
+    assert {tuple(r) for r in rankfuse.firsts(df).collect()} == {(q, 2) for q in range(90)}
+
+
 def test_best_fit_conflicts():
     bins = packing.best_fit([6, 5, 4, 3], 10, [0, 1, 0, 0], [0, -1, 0, -1], {})
     assert bins == [0, 1, 1, 0]  # 4 fits 6's bin exactly but is its duplicate
@@ -220,6 +269,22 @@ def test_permutation_and_counts():
     assert (at == totals).all()
 
 
+@pytest.mark.parametrize("slots", [1.5e9, 1e11, 3e13])
+def test_counts_of_very_many_slots(slots):
+    totals = (np.array([0.55, 0.3, 0.1499999, 0, 1e-7]) * slots).astype(np.int64)
+    shards = -(-int(totals.sum()) // 1024)
+    for s in (0, 1, shards // 3, shards - 2):
+        before, here = mixing.shard_counts(totals, shards, 1024, s, 5)
+        after, _ = mixing.shard_counts(totals, shards, 1024, s + 1, 5)
+        assert here.sum() == 1024 and before.sum() == 1024 * s and (before + here == after).all() and (before <= totals).all()
+        assert abs(here[0] - 563) < 90 and here[3] == 0
+    left = mixing._drawn(totals, int(totals.sum() // 2), np.random.default_rng(1))
+    spread = np.sqrt(totals / 4.0 * (1 - totals / totals.sum()))
+    assert left.sum() == totals.sum() // 2 and (np.abs(left - totals / 2) <= 6 * spread + 1).all()
+    last = mixing.shard_counts(totals, shards, 1024, shards - 1, 5)
+    assert (last[0] + last[1] == totals).all()
+
+
 def test_mixture(spark):
     rnd = random.Random(6)
     docs = [(i, " ".join(f"w{rnd.randrange(500)}" for _ in range(60)), ("Big", "b i g", "small", "other", None)[i % 5], 0) for i in range(200)] + [(900, None, "big", 0), (901, "", "big", 0)]
