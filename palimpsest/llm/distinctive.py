@@ -21,7 +21,7 @@ from palimpsest.functions.text import ascii_lower
 from palimpsest.operators.skew import join_per_key, keep_highest
 from palimpsest.session import stage
 
-ROUNDS = 60
+ROUNDS, TOLERANCE = 400, 1e-8  # a term's fit ends when its log rates and share move by less, or after so many rounds
 _LEAST = 1e-9
 _PARAMS = "term string, df long, corpus_freq long, elite_share double, elite_rate double, other_rate double"
 
@@ -44,29 +44,36 @@ def newest_frequencies(postings: DataFrame) -> tuple[DataFrame, int]:
     return stage(tf, "tf"), best.count()
 
 
-def fit_two_poisson(start: np.ndarray, tf: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Elite share and both rates of many histograms at once.
+def fit_two_poisson(start: np.ndarray, tf: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Elite share and both rates of many histograms at once, each iterated until it has converged.
 
     `start` holds where each histogram begins in `tf` (counts, zero included) and `weight` (records).
     A histogram with a single count, zero apart, is elite wherever it occurs.
     """
-    owner = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(tf))))
-    total = np.add.reduceat(weight, start)
-    mass = np.add.reduceat(weight * tf, start)
+    lens = np.diff(np.append(start, len(tf)))
+    total, mass = np.add.reduceat(weight, start), np.add.reduceat(weight * tf, start)
     held = np.add.reduceat(np.where(tf > 0, weight, 0.0), start)
     share = np.clip(held / total * 0.5, _LEAST, 0.5)
     high = np.maximum(mass / np.maximum(held, _LEAST), 1.0) * 1.25
     low = np.maximum(mass / total * 0.5, _LEAST)
+    left = np.arange(len(start))  # histograms that still move
+    x, w, n = tf, weight, lens
     for _ in range(rounds):
-        odds = np.log(share / (1 - share))[owner] + tf * np.log(high / low)[owner] - (high - low)[owner]
-        elite = weight / (1 + np.exp(-np.clip(odds, -700, 700)))
-        e, ex = np.add.reduceat(elite, start), np.add.reduceat(elite * tf, start)
-        share = np.clip(e / total, _LEAST, 1 - _LEAST)
-        high = np.maximum(ex / np.maximum(e, _LEAST), _LEAST)
-        low = np.maximum((mass - ex) / np.maximum(total - e, _LEAST), _LEAST)
-        swap = low > high
-        high, low = np.where(swap, low, high), np.where(swap, high, low)
-        share = np.where(swap, np.clip(1 - share, _LEAST, 1 - _LEAST), share)
+        if not len(left):
+            break
+        owner, begin = np.repeat(np.arange(len(left)), n), np.cumsum(n) - n
+        s, h, lo, t, m = share[left], high[left], low[left], total[left], mass[left]
+        odds = np.log(s / (1 - s))[owner] + x * np.log(h / lo)[owner] - (h - lo)[owner]
+        elite = w / (1 + np.exp(-np.clip(odds, -700, 700)))
+        e, ex = np.add.reduceat(elite, begin), np.add.reduceat(elite * x, begin)
+        s1 = np.clip(e / t, _LEAST, 1 - _LEAST)
+        h1, lo1 = np.maximum(ex / np.maximum(e, _LEAST), _LEAST), np.maximum((m - ex) / np.maximum(t - e, _LEAST), _LEAST)
+        swap = lo1 > h1
+        h1, lo1, s1 = np.where(swap, lo1, h1), np.where(swap, h1, lo1), np.where(swap, np.clip(1 - s1, _LEAST, 1 - _LEAST), s1)
+        share[left], high[left], low[left] = s1, h1, lo1
+        move = np.abs(np.log(h1 / h)) + np.abs(np.log(lo1 / lo)) + np.abs(np.log(s1 / s))
+        on = move >= tolerance
+        x, w, left, n = x[np.repeat(on, n)], w[np.repeat(on, n)], left[on], n[on]
     return share, high, low
 
 
@@ -95,7 +102,7 @@ def _fitter(n: int):
 
 def term_models(tf: DataFrame, n_chunks: int) -> DataFrame:
     """The mixture of every term. A term's histogram has one entry per distinct count, so its array is short."""
-    hist = tf.groupBy("term", "tf").agg(F.count("*").alias("n")).groupBy("term").agg(F.collect_list(F.struct("tf", "n")).alias("h"))
+    hist = tf.groupBy("term", "tf").agg(F.count("*").alias("n")).groupBy("term").agg(F.sort_array(F.collect_list(F.struct("tf", "n"))).alias("h"))
     hist = hist.select("term", F.col("h.tf").alias("tfs"), F.col("h.n").alias("ns"))
     return hist.mapInPandas(_fitter(n_chunks), _PARAMS)
 
@@ -125,9 +132,18 @@ def top_terms(scored: DataFrame, k: int = 10) -> DataFrame:
     return scored.withColumn("place", place).where(F.col("place") <= k)
 
 
-def rare_shared_terms(postings: DataFrame, least_tf: int = 3, one_in: int = 40, least_df: int = 2, most_df: int = 8, elite: float = 0.5) -> DataFrame:
-    """(chunk_id, term) of elite occurrences that are also frequent in the chunk and shared by few chunks."""
+def rare_shared_terms(postings: DataFrame, least_tf: int = 3, one_in: int = 40, least_df: int = 2, most_df: int = 8) -> DataFrame:
+    """(chunk_id, term) of the scored occurrences that are also frequent in the chunk and shared by few chunks.
+
+    The counts define a case and no least posterior is asked for: a chunk with a term three times must not lose it because
+    another chunk has it a hundred times, so that the mixture takes three for the other component.
+    """
     tf, n = newest_frequencies(postings)
-    telling = _scored(tf, n).where((F.col("elite") >= elite) & (F.col("tf") >= least_tf) & F.col("df").between(least_df, most_df))
+    telling = _scored(tf, n).where((F.col("tf") >= least_tf) & F.col("df").between(least_df, most_df))
     totals = tf.groupBy("chunk_id").agg(F.sum("tf").alias("chunk_tf"))
     return telling.join(totals, "chunk_id").where(F.col("tf") * one_in >= F.col("chunk_tf")).select("chunk_id", "term")
+
+
+def mixtures(postings: DataFrame) -> DataFrame:
+    """(term, df, corpus_freq, elite_share, elite_rate, other_rate) of every term."""
+    return term_models(*newest_frequencies(postings))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palimpsest.llm import distinctive, mixing, nearcopies, neighbours, packing, rankfuse, residue, split
 from palimpsest.sources.tables import table
@@ -13,7 +14,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distinctive.top_terms(distinctive.distinctive_terms(table(spark, sf_dir, "postings")), 10)
+    top = distinctive.top_terms(distinctive.distinctive_terms(table(spark, sf_dir, "postings")), 10)
+    return top.withColumns({"elite": F.round("elite", 5), "log_odds": F.round("log_odds", 4)})
+
+
+def p1_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = distinctive.mixtures(table(spark, sf_dir, "postings"))
+    return m.withColumns({"elite_share": F.round("elite_share", 6), "elite_rate": F.round("elite_rate", 4), "other_rate": F.round("other_rate", 6)})
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +49,10 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.pieces(table(spark, sf_dir, "wal"))
 
 
+def p5_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.covers(table(spark, sf_dir, "wal"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rankfuse.firsts(table(spark, sf_dir, "lane_hits"))
 
@@ -83,22 +94,44 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_top_terms": p1_top_terms,
+    "p1_found": p1_found, "p1_top_terms": p1_top_terms, "p1_mixtures": p1_mixtures,
     "p2_found": p2_found, "p2_neighbours": p2_neighbours,
     "p3_found": p3_found, "p3_groups": p3_groups,
-    "p5_found": p5_found, "p5_pieces": p5_pieces,
+    "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_covers": p5_covers,
     "p6_found": p6_found, "p6_ranking": p6_ranking,
     "p7_places": p7_places, "p7_unused": p7_unused,
     "p8_copies": p8_copies, "p8_slots": p8_slots, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_clean": p9_clean,
 }
 
-ORACLE = {
-    "p1_found": r"""
-with p as (select distinct segment, term, chunk_id, freq, seq from postings),
+_TF = r"""
+with recursive p as (select distinct segment, term, chunk_id, freq, seq from postings),
 n as (select trim(translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as term, chunk_id, freq, seq from p where term is not null and trim(term) <> '' and chunk_id is not null and freq > 0),
 newest as (select chunk_id, max(seq) as seq from n group by 1),
-tf as (select n.chunk_id, n.term, sum(n.freq) as tf from n join newest using (chunk_id, seq) group by 1, 2),
+tf as (select n.chunk_id, n.term, sum(n.freq) as tf from n join newest using (chunk_id, seq) group by 1, 2)"""
+
+# the expectation-maximisation, a round a step, on each term's histogram with the zero counts in front
+_EM = _TF + r""",
+hist as (select term, tf, count(*) as n from tf group by 1, 2),
+lists as (select term, sum(n)::bigint as df, sum(n * tf)::bigint as mass, list_prepend(0.0::double, list(tf::double order by tf)) as x, list(n::double order by tf) as held, (select count(distinct chunk_id) from newest) as chunks from hist group by 1),
+begun as (select term, df, mass, x, list_prepend(greatest(chunks - df, 0)::double, held) as w, greatest(chunks, df)::double as total from lists),
+em as (
+ select term, x, w, total, mass::double as mass, least(0.5, greatest(1e-9, df / total * 0.5))::double as s, (greatest(mass / df, 1.0) * 1.25)::double as h, greatest(mass / total * 0.5, 1e-9)::double as lo, 0 as round, 1.0::double as move from begun
+ union all
+ select term, x, w, total, mass, s1, h1, lo1, round + 1, abs(ln(h1 / h)) + abs(ln(lo1 / lo)) + abs(ln(s1 / s))
+ from (select *, case when b > a then greatest(1e-9, least(1 - 1e-9, 1 - sh)) else sh end as s1, greatest(a, b) as h1, least(a, b) as lo1
+  from (select *, greatest(1e-9, least(1 - 1e-9, e / total)) as sh, greatest(ex / greatest(e, 1e-9), 1e-9) as a, greatest((mass - ex) / greatest(total - e, 1e-9), 1e-9) as b
+   from (select *, list_sum(z) as e, list_sum(list_transform(range(1, len(x) + 1), lambda i: z[i] * x[i])) as ex
+    from (select *, list_transform(range(1, len(x) + 1), lambda i: w[i] / (1 + exp(-greatest(-700.0, least(700.0, ln(s / (1 - s)) + x[i] * ln(h / lo) - (h - lo)))))) as z from em where move >= 1e-8 and round < 400))))),
+fit as (select term, arg_max(s, round) as s, arg_max(h, round) as h, arg_max(lo, round) as lo from em group by 1),
+model as (select term, df, mass as corpus_freq, s, h, lo from begun join fit using (term))"""
+
+ORACLE = {
+    "p1_mixtures": _EM + " select term, df, corpus_freq, round(s, 6) as elite_share, round(h, 4) as elite_rate, round(lo, 6) as other_rate from model",
+    "p1_top_terms": _EM + """, scored as (select chunk_id, term, tf::bigint as tf, df, corpus_freq, ln(s / (1 - s)) + tf * ln(h / lo) - (h - lo) as log_odds from tf join model using (term)),
+ placed as (select *, row_number() over (partition by chunk_id order by round(log_odds, 9) desc, term)::int as place from scored)
+ select chunk_id, term, tf, df, corpus_freq, round(1 / (1 + exp(-log_odds)), 5) as elite, round(log_odds, 4) as log_odds, place from placed where place <= 10""",
+    "p1_found": _TF + r""",
 df as (select term, count(*) as df from tf group by 1),
 total as (select chunk_id, sum(tf) as chunk_tf from tf group by 1)
 select chunk_id, term from tf join df using (term) join total using (chunk_id) where tf >= 3 and df between 2 and 8 and tf * 40 >= chunk_tf""",
@@ -108,6 +141,10 @@ big as (select * from t where len(regexp_extract_all(low, '[a-z0-9]+')) >= 492 o
 unit as (select seq, unnest(string_split_regex(regexp_replace(low, '([.!?])([ \t\n\r])', '\1' || chr(1) || '\2', 'g'), chr(1) || '|\n|\r')) as u from big),
 sized as (select seq, len(regexp_extract_all(u, '[a-z0-9]+')) as w, length(regexp_replace(u, '[^a-z0-9]+', '', 'g')) as c from unit)
 select seq, case when max(case when w >= 492 or c - w >= 1844 then 1 else 0 end) = 1 then 'forced' else 'boundary' end as kind from sized group by seq""",
+    "p5_covers": r"""
+with t as (select distinct seq, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low from wal where length(text) > 500),
+n as (select seq, text, len(regexp_extract_all(low, '[a-z0-9]+')) as w, length(regexp_replace(low, '[^a-z0-9]+', '', 'g')) as c from t)
+select seq, length(text)::bigint as fresh_chars, length(text)::bigint as last_end, 0::bigint as over, 0::bigint as unfounded, 0::bigint as gaps from n where w >= 492 or c - w >= 1844""",
     "p6_found": r"""
 with best as (select qid, lane, mu, memory_id, max(score) as s from lane_hits where score is not null and not isnan(score) and score <> -1e9 group by all),
 ranked as (select qid, memory_id, rank() over (partition by qid, lane, mu order by s) + (count(*) over (partition by qid, lane, mu, s) - 1) / 2.0 as r, count(*) over (partition by qid, lane, mu) as n from best),

@@ -2,7 +2,7 @@
 
 A text over the limit is laid out as the least number of pieces that could hold it; equal-length
 targets are placed, each is snapped to the strongest boundary near it, and where any piece then
-breaks a limit, pieces are added and the layout is made anew. Only units (sentences or lines)
+breaks a limit, pieces are added: to the whole, or where that doesn't do, to that piece's span. Only units (sentences or lines)
 that are themselves over a limit are cut inside.
 """
 
@@ -85,6 +85,72 @@ def lay_out(text: str, max_words: int = MAX_WORDS, max_pairs: int = MAX_PAIRS, o
         at = int(e)
     ends = np.array(sorted(set(ends)))
 
+    strength = lay.strength[ends]
+    by_pairs = pairs[lay.n] / max_pairs > words[lay.n] / max_words
+    load = (pairs if by_pairs else words).astype(float)
+    room = max(1.0, max_pairs - max_pairs * overlap / max_words if by_pairs else core_words)
+    at_end = load[ends]
+
+    def holds(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether pieces fresh from `a` to `b` keep the limits, overlap included. A single segment may crowd out its overlap."""
+        begin = np.maximum(0, a - overlap)
+        whole = (words[b] - words[begin] <= max_words) & (pairs[b] - pairs[begin] <= max_pairs)
+        i = np.searchsorted(ends, a, "right")
+        return whole | (ends[np.minimum(i, len(ends) - 1)] == b)
+
+    def placed(a: int, b: int, k: int) -> list[int]:
+        """Cuts inside (a, b) for `k` pieces: equal-length targets, each snapped to the strongest boundary within a quarter of a piece, else to the nearest."""
+        step = (load[b] - load[a]) / k
+        target = load[a] + step * np.arange(1, k)
+        pick = np.full(k - 1, -1)
+        inside = (ends > a) & (ends < b)
+        for level in (PARAGRAPH, LINE, SENTENCE, FORCED):
+            own = np.nonzero(inside & (strength == level))[0]
+            open_ = np.nonzero(pick < 0)[0]
+            if len(own) and len(open_):
+                j = np.searchsorted(at_end[own], target[open_])
+                left, right = own[np.maximum(j - 1, 0)], own[np.minimum(j, len(own) - 1)]
+                near = np.where(np.abs(at_end[left] - target[open_]) <= np.abs(at_end[right] - target[open_]), left, right)
+                good = np.abs(at_end[near] - target[open_]) <= step / 4
+                pick[open_[good]] = near[good]
+        every, open_ = np.nonzero(inside)[0], np.nonzero(pick < 0)[0]
+        if len(every) and len(open_):
+            j = np.searchsorted(at_end[every], target[open_])
+            left, right = every[np.maximum(j - 1, 0)], every[np.minimum(j, len(every) - 1)]
+            pick[open_] = np.where(np.abs(at_end[left] - target[open_]) <= np.abs(at_end[right] - target[open_]), left, right)
+        return np.unique(ends[pick[pick >= 0]]).tolist()
+
+    # the least count whose layout holds: steps of growing width up to one that does, then halved back
+    tried: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def bad(k: int) -> int:
+        own = np.array([0, *placed(0, lay.n, k), lay.n])
+        tried[k] = own, holds(own[:-1], own[1:])
+        return int((~tried[k][1]).sum())
+
+    low, step = max(2, int(np.ceil(load[-1] / room))) - 1, 1
+    high, most = low + 1, 2 * low + 8
+    while (n := bad(high)) and high < most:
+        low, high, step = high, min(high + step, most), 2 * step
+    while not n and high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if bad(middle) else (low, middle)
+    k = min(tried, key=lambda k: ((~tried[k][1]).sum(), k))
+    own, good = tried[k]
+    # where no even layout holds, a piece is added to the span of each that breaks a limit, till it does
+    cuts = own[1:][good].tolist()
+    todo = [(int(x), int(y), 2) for x, y in zip(own[:-1][~good], own[1:][~good])]
+    while todo:
+        a, b, k = todo.pop()
+        own = np.array([a, *placed(a, b, k), b])
+        good = holds(own[:-1], own[1:])
+        if len(own) == 2 and not good[0]:  # no target came near a boundary: more of them do
+            todo.append((a, b, k + 1))
+            continue
+        cuts += own[1:][good].tolist()
+        todo += [(int(x), int(y), 2) for x, y in zip(own[:-1][~good], own[1:][~good])]
+    cuts = [0, *sorted(cuts)]
+
     def start_of(cut: int, end: int) -> int:
         """Where a piece that is fresh from `cut` begins: `overlap` words earlier, or as many as the limits leave room for."""
         a = max(0, cut - overlap)
@@ -92,35 +158,6 @@ def lay_out(text: str, max_words: int = MAX_WORDS, max_pairs: int = MAX_PAIRS, o
             a += 1
         return a
 
-    def broken(cuts: list[int]) -> int:
-        return sum(not (fits(max(0, a - overlap), b) or (a in seg_of and seg_of[a] == b)) for a, b in zip(cuts, cuts[1:]))
-
-    seg_of = dict(zip([0, *ends[:-1].tolist()], ends.tolist()))  # a single segment may crowd out its overlap
-    by_pairs = pairs[lay.n] / max_pairs > words[lay.n] / max_words
-    load = (pairs if by_pairs else words).astype(float)
-    room = (max_pairs - max_pairs * overlap / max_words) if by_pairs else core_words
-    k = max(2, int(np.ceil(load[-1] / max(room, 1))))
-    strength = lay.strength[ends]
-    while True:
-        if k >= len(ends):
-            cuts = [0, *ends.tolist()]
-            break
-        step, cuts = load[-1] / k, [0]
-        for j in range(1, k):
-            target = step * j
-            lo, hi = np.searchsorted(load[ends], [target - step / 4, target + step / 4])
-            if lo == hi:  # none near: the nearest of all
-                lo = max(0, min(lo, len(ends) - 1) - 1)
-                hi = min(len(ends), lo + 2)
-            near = np.arange(lo, hi)
-            pick = min(near, key=lambda i: (-strength[i], abs(load[ends[i]] - target)))
-            if cuts[-1] < ends[pick] < lay.n:
-                cuts.append(int(ends[pick]))
-        cuts.append(lay.n)
-        bad = broken(cuts)
-        if not bad:
-            break
-        k += max(1, bad // 4)
     return lay, [(start_of(a, b) if a else 0, a, b) for a, b in zip(cuts, cuts[1:])], unit_over
 
 
@@ -162,3 +199,19 @@ def over_limit_records(records: DataFrame) -> DataFrame:
     """(seq, kind) of the records that were split: `forced` where a unit had to be cut, else `boundary`."""
     p = pieces(records, with_text=False)
     return p.groupBy("seq").agg(F.when(F.max("unit_over"), "forced").otherwise("boundary").alias("kind"))
+
+
+def covers(records: DataFrame) -> DataFrame:
+    """(seq, fresh_chars, last_end, over, unfounded, gaps) per record that was split: what its pieces add up to.
+
+    The fresh parts' characters and where the last piece ends, both the text's length; pieces over a limit, forced
+    ends without a unit over a limit, and pieces that don't begin where or before the one before ends: all none.
+    """
+    p = pieces(records, with_text=False)
+    before = p.select("seq", (F.col("piece") + 1).alias("piece"), F.col("ends").alias("before"))
+    p = p.join(before, ["seq", "piece"], "left")
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    return p.groupBy("seq").agg(
+        F.sum(F.col("ends") - F.col("fresh_from")).alias("fresh_chars"), F.max("ends").cast("long").alias("last_end"), n((F.col("words") > MAX_WORDS) | (F.col("pairs") > MAX_PAIRS)).alias("over"),
+        n((F.col("boundary") == "forced") & ~F.col("unit_over")).alias("unfounded"), n((F.col("fresh_from") != F.col("before")) | (F.col("begins") > F.col("before"))).alias("gaps"),
+    )

@@ -22,6 +22,14 @@ def test_distinctive(spark):
     assert distinctive.distinctive_terms(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_counts_make_a_case_where_the_posterior_is_low(spark):
+    rows = [(0, "rare", 1, 3, 1), (0, "rare", 2, 100, 1)] + [(0, "the", c, 1 + c % 2, 1) for c in range(3000)]
+    df = spark.createDataFrame(rows, "segment int, term string, chunk_id long, freq int, seq long")
+    elite = {(r.chunk_id, r.term): r.elite for r in distinctive.distinctive_terms(df).where("term = 'rare'").collect()}
+    assert elite[1, "rare"] < 0.01 < 0.99 < elite[2, "rare"]
+    assert {tuple(r) for r in distinctive.rare_shared_terms(df).collect()} == {(1, "rare"), (2, "rare")}
+
+
 def test_two_poisson_recovers_rates():
     rng = np.random.default_rng(0)
     x = np.where(rng.random(20000) < 0.2, rng.poisson(9, 20000), rng.poisson(1, 20000))
@@ -160,6 +168,38 @@ def test_pieces(text):
             assert unit_over
 
 
+def _fewest(lay, cuts_at):
+    """Least number of pieces with an overlap of 40 words, cut at `cuts_at` only: as far as a piece reaches is never wrong."""
+    at, n = 0, 0
+    while at < lay.n:
+        begin = max(0, at - split.OVERLAP)
+        at = max(c for c in cuts_at if c > at and (c == min(x for x in cuts_at if x > at) or c - begin <= 491 and lay.pairs[c] - lay.pairs[begin] <= 1843))
+        n += 1
+    return n
+
+
+def test_few_pieces_more_than_needed():
+    rnd, more = random.Random(7), []
+    for _ in range(60):
+        text = " ".join(" ".join("w" * rnd.choice([1, 3, 5, 9, 14]) for _ in range(rnd.randrange(1, 60))) + rnd.choice([". ", "! ", "\n", "\n\n"]) for _ in range(rnd.randrange(30, 200)))
+        lay, pieces, over = split.lay_out(text)
+        least = _fewest(lay, sorted((np.nonzero(lay.strength[1:] >= split.FORCED)[0] + 1).tolist()))
+        assert not over and all(b - a <= 491 and lay.pairs[b] - lay.pairs[a] <= 1843 for a, _, b in pieces)
+        more.append((len(pieces), least))
+    # strong boundaries are preferred to full pieces
+    assert all(n <= 1.5 * least + 1 for n, least in more) and sum(n for n, _ in more) <= 1.3 * sum(m for _, m in more)
+    for sentences in (110, 200, 999):
+        lay, pieces, _ = split.lay_out("One two three four five. " * sentences)
+        assert len(pieces) == _fewest(lay, list(range(5, 5 * sentences + 1, 5)))
+
+
+def test_very_long_text_in_pieces():
+    rnd = random.Random(1)
+    text = " ".join(f"{rnd.choice(['One', 'Another one'])} {'x' * rnd.randrange(1, 20)} {'word ' * rnd.randrange(1, 30)}ends." for _ in range(60_000))
+    lay, pieces, _ = split.lay_out(text)
+    assert pieces[-1][2] == lay.n and all(a <= f < b and b - a <= 491 for a, f, b in pieces) and len(pieces) > 1500
+
+
 def test_pieces_of_records(spark):
     long = "One two three. " * 400
     df = spark.createDataFrame([(1, 1, long, 0), (1, 1, long, 0), (2, None, "word " * 600, 0), (3, 1, "short", 0), (4, 1, None, 0), (5, 1, "", 0)], "seq long, memory_id long, text string, words int")
