@@ -31,6 +31,7 @@ BITS = 10240
 _PER_BUCKET = 200  # vectors a bucket's rows are joined for; those of a larger one are compared in blocks
 _BLOCK = 20_000
 _TILE = 4_000_000  # pairs of a block compared at once
+_PART_ROWS = 1_500_000  # rows of keys that one task groups
 _KEYS = "key long, id long, own boolean"
 
 
@@ -38,11 +39,11 @@ _KEYS = "key long, id long, own boolean"
 class Hashing:
     """p of the stable law, functions per key, bucket width on the natural logarithm, tables, perturbed probes per table."""
 
-    p: float = 0.15
-    functions: int = 5
-    width: float = 3.0
+    p: float = 0.05
+    functions: int = 4
+    width: float = 2.0
     tables: int = 24
-    probes: int = 4
+    probes: int = 1
     seed: int = 20240101
 
 
@@ -67,7 +68,9 @@ def projections(h: Hashing) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng((h.seed, 0))
     shape = (BITS, h.tables * h.functions)
     angle, wait = rng.uniform(-np.pi / 2, np.pi / 2, shape), rng.exponential(size=shape)
-    draw = np.sin(h.p * angle) / np.cos(angle) ** (1 / h.p) * (np.cos((1 - h.p) * angle) / wait) ** ((1 - h.p) / h.p)
+    # by logarithms, since terms reach beyond a double's range; what is too large for one is cut there
+    size = np.log(np.abs(np.sin(h.p * angle))) - np.log(np.cos(angle)) / h.p + (np.log(np.cos((1 - h.p) * angle)) - np.log(wait)) * ((1 - h.p) / h.p)
+    draw = np.sign(angle) * np.exp(np.clip(size, -690, 690))
     return draw, rng.uniform(size=shape[1])
 
 
@@ -213,24 +216,26 @@ def candidate_pairs(sets: DataFrame, h: Hashing, k: int | None = None) -> DataFr
     The rows of a bucket of more than a few hundred vectors are not joined: all that are stored in it or look into it
     are compared there, exactly, in blocks of vectors, and with a `k` only each one's k most similar are given.
     """
-    keys = stage(sets.mapInArrow(_hasher(h), _KEYS), "buckets")
-    sizes = keys.where("own").groupBy("key").agg(F.count("*").alias("n"))
-    crowded = stage(sizes.where(F.col("n") > _PER_BUCKET), "crowded")
-    some = bool(crowded.take(1))
-    rows = keys.join(crowded, "key", "left_anti") if some else keys
-    met = rows.join(rows.where("own").select("key", F.col("id").alias("x")), "key")
+    spark = sets.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sets.count() * h.tables * (1 + h.probes) // _PART_ROWS)
+    # one exchange, which is used again: for the sizes of buckets, and for the rows of those where vectors meet
+    keys = sets.mapInArrow(_hasher(h), _KEYS).where("key is not null").repartition(parts, "key")
+    sizes = keys.groupBy("key").agg(F.count_if("own").alias("n"), F.count("*").alias("m")).where("n > 0 and m > 1")
+    rows = stage(keys.join(sizes.hint("shuffle_hash"), "key"), "buckets")
+    few = rows.where(F.col("n") <= _PER_BUCKET)
+    met = few.join(few.where("own").select("key", F.col("id").alias("x")), "key")
     met = met.where((~F.col("own") & (F.col("id") != F.col("x"))) | (F.col("id") < F.col("x")))
     pairs = met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
-    if some:
-        pairs = pairs.unionByName(_compared(keys.join(crowded.select("key"), "key", "left_semi"), sets, k))
+    crowded = rows.where(F.col("n") > _PER_BUCKET)
+    if crowded.take(1):
+        pairs = pairs.unionByName(_compared(crowded, sets, k))
     return pairs.distinct()
 
 
 def _compared(keys: DataFrame, sets: DataFrame, k: int | None) -> DataFrame:
     """(a, b) of the buckets' vectors. Every block of stored vectors meets every block of those that look in."""
     blocks = lambda n: F.ceil(F.col(n) / _BLOCK).cast("int")
-    sizes = keys.groupBy("key").agg(F.count_if("own").alias("n"), F.count("*").alias("m")).select("key", blocks("n").alias("n"), blocks("m").alias("m"))
-    rows = keys.join(sizes, "key").join(sets.select("id", F.col("bits").cast("array<short>").alias("bits")), "id")
+    rows = keys.select("key", "id", "own", blocks("n").alias("n"), blocks("m").alias("m")).join(sets.select("id", F.col("bits").cast("array<short>").alias("bits")), "id")
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     stored = rows.where("own").select("key", block("n").alias("of"), each("m").alias("to"), "id", "bits", F.lit(STORED).alias("role"))
