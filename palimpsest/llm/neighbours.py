@@ -220,7 +220,8 @@ def candidate_pairs(sets: DataFrame, h: Hashing, k: int | None = None) -> DataFr
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sets.count() * h.tables * (1 + h.probes) // _PART_ROWS)
     # one exchange, which is used again: for the sizes of buckets, and for the rows of those where vectors meet
     keys = sets.mapInArrow(_hasher(h), _KEYS).where("key is not null").repartition(parts, "key")
-    sizes = keys.groupBy("key").agg(F.count_if("own").alias("n"), F.count("*").alias("m")).where("n > 0 and m > 1")
+    sizes = keys.groupBy("key").agg(F.count_if("own").alias("n"), F.count("*").alias("m"), F.min("id").alias("i0"), F.max("id").alias("i1"))
+    sizes = sizes.where("n > 0 and i0 <> i1").select("key", "n", "m")
     rows = stage(keys.join(sizes.hint("shuffle_hash"), "key"), "buckets")
     few = rows.where(F.col("n") <= _PER_BUCKET)
     met = few.join(few.where("own").select("key", F.col("id").alias("x")), "key")
