@@ -30,6 +30,13 @@ def hash_features(features: list[bytes], seed: int = 0) -> np.ndarray:
     return h
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        return x ^ (x >> np.uint64(29))
+
+
 def _bytes(s: pd.Series) -> list[bytes]:
     return [(x or "").encode() for x in s]
 
@@ -52,25 +59,15 @@ def probe_positions(feature: pd.Series, n: pd.Series, base: pd.Series, size: pd.
     return pd.Series(probe(hash_features(_bytes(feature)), n.to_numpy(np.int64), base.to_numpy(np.int64), size.to_numpy(np.int64)))
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def context_positions(left: pd.Series, right: pd.Series, n: pd.Series, base: pd.Series, size: pd.Series) -> pd.Series:
-    """Positions of the probes of two neighbours' xored hashes."""
-    h = hash_features(_bytes(left)) ^ hash_features(_bytes(right))
-    return pd.Series(probe(h, n.to_numpy(np.int64), base.to_numpy(np.int64), size.to_numpy(np.int64)))
-
-
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def band_hashes(bits: pd.Series, bands: pd.Series, rows: pd.Series) -> pd.Series:
     """One hash per band of `rows` 64-bit segments; a band without bits hashes to a value of its own, too."""
     b, r = (int(bands.iloc[0]), int(rows.iloc[0])) if len(bits) else (1, 1)
-    out = []
-    for x in bits:
-        seg = np.zeros(160, np.uint64)
-        p = np.asarray(x if x is not None else [], np.int64)
-        if len(p):
-            np.bitwise_or.at(seg, p >> 6, np.uint64(1) << (p & 63).astype(np.uint64))
-        h = np.arange(b, dtype=np.uint64) * np.uint64(STEP)
-        for i in range(r):
-            h = (h ^ seg[(np.arange(b) * r + i) % 160]) * np.uint64(BAND_FACTOR)
-        out.append(h.view(np.int64))
-    return pd.Series(out)
+    lens = np.array([0 if x is None else len(x) for x in bits], np.int64)
+    flat = np.concatenate([np.empty(0, np.int64), *[x for x in bits if x is not None]]).astype(np.int64)
+    seg = np.zeros((len(bits), 160), np.uint64)
+    np.bitwise_or.at(seg, (np.repeat(np.arange(len(bits)), lens), flat >> 6), np.uint64(1) << (flat & 63).astype(np.uint64))
+    h = np.broadcast_to(np.arange(b, dtype=np.uint64) * np.uint64(STEP), (len(bits), b))
+    for i in range(r):
+        h = (h ^ seg[:, (np.arange(b) * r + i) % 160]) * np.uint64(BAND_FACTOR)
+    return pd.Series(list(h.view(np.int64)))

@@ -38,17 +38,17 @@ def ordinals(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def sequential_idf(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(term, df, last_ordinal, idf, top_idf) as insertion one by one leaves them: idf = ln(ordinal of the last insert with the term / df).
 
-    `top_idf` is the highest value the term's idf ever had, so its maximum is the corpus's running maximum.
+    `top_idf` is the highest value the term's idf ever had, so its maximum is the corpus's running maximum. Ids are unique.
     """
-    each = ordinals(docs, id_col).select("ordinal", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).withColumn("block", F.floor(F.col("ordinal") / _BLOCK))
-    # a term's running count: within a block of documents, plus the blocks before
-    counts = each.groupBy("term", "block").agg(F.count("*").alias("n"))
+    terms = docs.select(id_col, F.array_distinct(tokens(F.col("text"))).alias("terms"))
+    each = terms.join(ordinals(docs.select(id_col), id_col), id_col).select("ordinal", F.explode("terms").alias("term"))
+    # a term's ordinals, in lists of one block of documents each; its running count is the place in the list plus the blocks before
+    lists = each.groupBy("term", F.floor(F.col("ordinal") / _BLOCK).alias("block")).agg(F.sort_array(F.collect_list("ordinal")).alias("at"))
     before = Window.partitionBy("term").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("term", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inner = F.row_number().over(Window.partitionBy("term", "block").orderBy("ordinal"))
-    running = each.withColumn("in_block", inner).join(counts, ["term", "block"]).withColumn("rdf", F.col("in_block") + F.col("base"))
-    return running.groupBy("term").agg(
-        F.count("*").alias("df"), F.max("ordinal").alias("last_ordinal"), F.log(F.max("ordinal") / F.count("*")).alias("idf"), F.max(F.log(F.col("ordinal") / F.col("rdf"))).alias("top_idf")
+    lists = lists.withColumn("n", F.size("at").cast("long")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    top = F.array_max(F.transform("at", lambda x, i: F.log(x / (F.col("base") + i + 1))))
+    return lists.select("term", "n", F.element_at("at", -1).alias("last"), top.alias("top")).groupBy("term").agg(
+        F.sum("n").alias("df"), F.max("last").alias("last_ordinal"), F.log(F.max("last") / F.sum("n")).alias("idf"), F.max("top").alias("top_idf")
     )
 
 

@@ -5,35 +5,49 @@ Every step takes all queries at once. Ranks go by `round(score, 9) desc, id`.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.config import EngineConfig
-from palimpsest.functions.hashing import band_hashes
+from palimpsest.functions.hashing import band_hashes, mixed
 from palimpsest.functions.text import ascii_lower, tokens
+from palimpsest.operators import blocks
+from palimpsest.operators.blocks import top_k
 
 
-def top_k(scored: DataFrame, k: int, ident: str = "id", name: str = "rank") -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), ident))
-    return scored.withColumn(name, place).where(F.col(name) <= k)
+def _likelihood(mu: float):
+    def score(asked: pa.Table, stored: pa.Table) -> np.ndarray:
+        q, d = blocks.Sparse(asked, "f"), blocks.Sparse(stored, "f")
+        names, first = np.unique(q.feature, return_index=True)
+        rarity = blocks.column(asked, "c")[first]
+        at = np.minimum(np.searchsorted(names, d.feature), max(len(names) - 1, 0))
+        met = names[at] == d.feature if len(names) else np.zeros(len(at), bool)
+        gain = np.log1p(blocks.column(stored, "w")[met] * rarity[at[met]])
+        s = blocks.product(q.n, d.n, q.row, q.feature, blocks.column(asked, "w"), d.row[met], d.feature[met], gain)
+        shift = blocks.column(asked, "len").astype(float)[:, None] * np.log(mu / (np.nan_to_num(blocks.column(stored, "len").astype(float)) + mu))[None, :]
+        return np.where(s > 0, s + shift, -np.inf)
+
+    return score
 
 
 def lexical(queries: DataFrame, post: DataFrame, stats: DataFrame, lens: DataFrame, k: int, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """(qid, id, score, rank) by query likelihood with Dirichlet smoothing; unknown query terms count in the length only.
 
-    Query terms meet the postings on the term, and the sums are partial per map task before the shuffle by (qid, id).
+    Queries and rows meet in blocks, where a term that is in every row is a row of a matrix and no hot key. Terms
+    go by 64-bit hashes there.
     """
     total = stats.agg(F.sum("cf").cast("double").alias("total"))
     q = queries.select("qid", tokens(F.col("text")).alias("t"))
-    qlen = q.select("qid", F.size("t").alias("qlen"))
-    terms = q.select("qid", F.explode("t").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    known = stats.select("term", "cf").join(F.broadcast(total))  # one row
-    hits = terms.join(known, "term").join(post, "term")
-    gain = F.col("qtf") * F.log(1 + F.col("tf") / (F.lit(cfg.dirichlet_mu) * F.col("cf") / F.col("total")))
-    sums = hits.groupBy("qid", "id").agg(F.sum(gain).alias("s"))
-    mu = F.lit(cfg.dirichlet_mu)
-    scored = sums.join(qlen, "qid").join(lens, "id", "left").select("qid", "id", (F.col("s") + F.col("qlen") * F.log(mu / (F.coalesce("len", F.lit(0)) + mu))).alias("score"))
-    return top_k(scored, k)
+    terms = q.select("qid", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("qid", "term").agg(F.count("*").cast("double").alias("w"), F.first("len").alias("len"))
+    known = terms.join(stats.select("term", "cf"), "term").join(F.broadcast(total))  # one row
+    entry = F.struct(F.xxhash64("term").alias("f"), "w", (F.col("total") / (F.lit(cfg.dirichlet_mu) * F.col("cf"))).alias("c"))
+    asked = known.groupBy("qid").agg(F.collect_list(entry).alias("e"), F.first("len").cast("long").alias("len")).select("qid", "e.f", "e.w", "e.c", "len")
+    rows = post.groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("f"), F.col("tf").cast("double").alias("w"))).alias("e")).select("id", "e.f", "e.w")
+    rows = rows.join(lens.select("id", F.col("len").cast("long").alias("len")), "id", "left")
+    return top_k(blocks.top_scores(asked, rows, _likelihood(cfg.dirichlet_mu), k), k)
 
 
 def bands(prints: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
@@ -88,39 +102,81 @@ def jaccard(inter: Column, a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(inter / union)
 
 
+def _agreeing_bands(q: blocks.Sparse, d: blocks.Sparse, cfg: EngineConfig) -> np.ndarray:
+    """Bands of equal content, those empty in both included, of every pair of a block."""
+    segments = cfg.bits // 64
+    held = [[] for _ in range(segments)]  # the bands that each segment is in
+    for band in range(cfg.lsh_bands):
+        for i in range(cfg.lsh_rows):
+            held[(band * cfg.lsh_rows + i) % segments].append(band)
+    most = max(map(len, held))
+    of = np.array([h + [-1] * (most - len(h)) for h in held])
+
+    def contents(x: blocks.Sparse) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        bands = of[x.feature // 64]
+        row, bit = np.repeat(x.row, most)[bands.reshape(-1) >= 0], np.repeat(x.feature, most)[bands.reshape(-1) >= 0]
+        key = row * cfg.lsh_bands + bands.reshape(-1)[bands.reshape(-1) >= 0]
+        with np.errstate(over="ignore"):
+            sums = np.zeros(x.n * cfg.lsh_bands, np.uint64)
+            np.add.at(sums, key, mixed(bit.astype(np.uint64)))
+            used = np.unique(key)
+            return used // cfg.lsh_bands, used % cfg.lsh_bands, mixed(sums[used] ^ mixed((used % cfg.lsh_bands + 1).astype(np.uint64) << np.uint64(32))).view(np.int64)
+
+    (qr, qb, qc), (dr, db, dc) = contents(q), contents(d)
+    left, right = np.ones((q.n, cfg.lsh_bands), np.float32), np.ones((d.n, cfg.lsh_bands), np.float32)
+    left[qr, qb] = right[dr, db] = 0
+    void = left @ right.T
+    if void.min(initial=2) >= 2:  # all pass
+        return void
+    return void + blocks.product(q.n, d.n, qr, qc, np.ones(len(qr)), dr, dc, np.ones(len(dr)))
+
+
+def _weighted_jaccard(cfg: EngineConfig, lsh: str):
+    def score(asked: pa.Table, stored: pa.Table) -> np.ndarray:
+        q, d = blocks.Sparse(asked, "bits"), blocks.Sparse(stored, "bits")
+        out = np.zeros((q.n, d.n))
+        for _, lo, hi, weight in cfg.regions:
+            x, y = (q.feature >= lo) & (q.feature < hi), (d.feature >= lo) & (d.feature < hi)
+            both = blocks.product(q.n, d.n, q.row[x], q.feature[x], np.ones(x.sum()), d.row[y], d.feature[y], np.ones(y.sum()))
+            union = np.bincount(q.row[x], minlength=q.n)[:, None] + np.bincount(d.row[y], minlength=d.n)[None, :] - both
+            out += weight * np.where(union == 0, 1.0, both / np.maximum(union, 1))
+        return np.where(_agreeing_bands(q, d, cfg) >= 2, out, -np.inf) if lsh == "faithful" else out
+
+    return score
+
+
 def semantic(queries: DataFrame, prints: DataFrame, k: int, cfg: EngineConfig = EngineConfig(), lsh: str = "faithful") -> DataFrame:
-    """(qid, id, score, rank) by region-weighted Jaccard of candidates. `lsh`: `faithful`, `nonzero` or `off`."""
+    """(qid, id, score, rank) by region-weighted Jaccard of candidates. `lsh`: `faithful`, `nonzero` or `off`.
+
+    Nearly every pair passes the faithful rule, so queries and rows meet in blocks; `nonzero` joins on the bands.
+    """
+    queries, prints = queries.select("qid", "bits"), prints.select("id", "bits")
+    if lsh != "nonzero":
+        return top_k(blocks.top_scores(queries, prints, _weighted_jaccard(cfg, lsh), k), k)
     q = region_sizes(queries, "q", cfg).withColumnRenamed("bits", "qb")
     d = region_sizes(prints, "d", cfg).withColumnRenamed("bits", "db")
-    if lsh == "nonzero":
-        pairs = band_candidates(queries, prints, 2, False, cfg).select("qid", "id").join(q, "qid").join(d, "id")
-    elif lsh == "off":
-        pairs = d.join(q)  # a stated query set against all rows
-    else:
-        # nearly every pair passes, so each is met once and judged where it is scored
-        q, d = (_filled(x.withColumnRenamed(bits, "bits"), cfg, on).withColumnRenamed("bits", bits) for x, bits, on in ((q, "qb", "qon"), (d, "db", "don")))
-        q, d = (x.withColumn(f"{on}_at", F.transform(on, lambda s: s.band)) for x, on in ((q, "qon"), (d, "don")))
-        short = F.size("qon") + F.size("don") <= cfg.lsh_bands - 2  # so many bands are empty in both
-        hits = cfg.lsh_bands - F.size(F.array_union("qon_at", "don_at")) + F.size(F.array_intersect("qon", "don"))
-        pairs = d.join(q).where(short | (hits >= 2))
-    pairs = pairs.withColumn("both", F.array_intersect("qb", "db"))
+    pairs = band_candidates(queries, prints, 2, False, cfg).select("qid", "id").join(q, "qid").join(d, "id").withColumn("both", F.array_intersect("qb", "db"))
     score = F.lit(0.0)
     for n, lo, hi, w in cfg.regions:
-        shared = F.size(F.filter("both", _within(lo, hi)))
-        score = score + w * jaccard(shared, F.col(f"q_{n}"), F.col(f"d_{n}"))
+        score = score + w * jaccard(F.size(F.filter("both", _within(lo, hi))), F.col(f"q_{n}"), F.col(f"d_{n}"))
     return top_k(pairs.select("qid", "id", score.alias("score")), k)
 
 
-def fuse(lanes: list[DataFrame], k: int, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """(qid, id, score, rank) by score-aware reciprocal ranks of the lanes' (qid, id, score, rank) rows."""
+def fused_scores(lanes: list[DataFrame], cfg: EngineConfig = EngineConfig()) -> DataFrame:
+    """(qid, id, score): the sums of the lanes' reciprocal ranks, each raised by how its score lies within its lane's."""
     every = None
-    for i, lane in enumerate(lanes):
+    for lane in lanes:
         w = Window.partitionBy("qid")
         spread = F.max("score").over(w) - F.min("score").over(w)
         share = F.when(spread <= 1e-9, 1.0).otherwise((F.col("score") - F.min("score").over(w)) / spread)
         part = lane.select("qid", "id", ((1.0 / (cfg.rrf_k + F.col("rank"))) * (1 + share)).alias("c"))
         every = part if every is None else every.unionByName(part)
-    return top_k(every.groupBy("qid", "id").agg(F.sum("c").alias("score")), k)
+    return every.groupBy("qid", "id").agg(F.sum("c").alias("score"))
+
+
+def fuse(lanes: list[DataFrame], k: int, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+    """(qid, id, score, rank) by score-aware reciprocal ranks of the lanes' (qid, id, score, rank) rows."""
+    return top_k(fused_scores(lanes, cfg), k)
 
 
 def to_parents(fused: DataFrame, chunk_parents: DataFrame) -> DataFrame:
@@ -152,7 +208,50 @@ def rerank(queries: DataFrame, candidates: DataFrame, docs: DataFrame, idf: Data
     return boosted.unionByName(tail).withColumn("rank", place).drop("head")
 
 
-def cosine(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(qid, id, score): dot products of a stated set of unit vectors with all others."""
-    dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return vectors.join(queries, F.col("id") != F.col("qid")).select("qid", "id", dot.alias("score"))
+def _dots(asked: pa.Table, stored: pa.Table) -> np.ndarray:
+    """Dot products; -inf for a row with itself and where the lengths differ."""
+    q, d = (pc.fill_null(pc.list_value_length(t.column("v")), 0).to_numpy() for t in (asked, stored))
+    out = np.full((len(q), len(d)), -np.inf)
+    qv, dv = (blocks.column(t, "v").astype(float) for t in (asked, stored))
+    for n in np.intersect1d(q, d):
+        i, j = np.nonzero(q == n)[0], np.nonzero(d == n)[0]
+        if n:
+            pick = lambda v, sizes, at: v[(np.cumsum(sizes) - sizes)[at][:, None] + np.arange(n)]
+            out[np.ix_(i, j)] = pick(qv, q, i) @ pick(dv, d, j).T
+    out[blocks.column(asked, "key")[:, None] == blocks.column(stored, "key")[None, :]] = -np.inf
+    return out
+
+
+def cosine(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score, rank): the k rows of `vectors` (id, v) with the largest dot products with each of `queries` (qid, v), itself left out."""
+    return top_k(blocks.top_scores(queries.select("qid", "v"), vectors.select("id", "v"), _dots, k), k)
+
+
+def class_cosines(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(qid, label, best): each query's largest dot product with the vectors (id, v, label) of a class, itself left out."""
+
+    def reduce(asked: pa.Table, stored: pa.Table) -> pa.RecordBatch:
+        s, label = _dots(asked, stored), blocks.column(stored, "label").astype(np.int64)
+        names = np.unique(label)
+        best = np.stack([s[:, label == c].max(1) for c in names], 1)
+        r, c = np.nonzero(best > -np.inf)
+        return pa.record_batch({"qid": pa.array(blocks.column(asked, "key")[r]), "label": pa.array(names[c]), "best": pa.array(best[r, c])})
+
+    found = blocks.in_blocks(queries.select("qid", "v"), vectors.select("id", "v", F.col("label").cast("long").alias("label")).where("label is not null"), reduce, "qid long, label long, best double")
+    return found.groupBy("qid", "label").agg(F.max("best").alias("best"))
+
+
+def cosine_histogram(queries: DataFrame, vectors: DataFrame, digits: int = 6) -> DataFrame:
+    """(score, same, other): of all pairs of `queries` and `vectors` (both with a label), how many of one and of different classes have a dot product."""
+
+    def reduce(asked: pa.Table, stored: pa.Table) -> pa.RecordBatch:
+        s = _dots(asked, stored)
+        same = blocks.column(asked, "label")[:, None] == blocks.column(stored, "label")[None, :]
+        on = s > -np.inf
+        value, at = np.unique(np.round(s[on], digits), return_inverse=True)
+        n = np.bincount(at, same[on], len(value)).astype(np.int64)
+        return pa.record_batch({"score": pa.array(value), "same": pa.array(n), "other": pa.array(np.bincount(at, minlength=len(value)) - n)})
+
+    pick = lambda df, ident: df.select(ident, "v", F.col("label").cast("long").alias("label")).where("label is not null")
+    found = blocks.in_blocks(pick(queries, "qid"), pick(vectors, "id"), reduce, "score double, same long, other long")
+    return found.groupBy(F.round("score", digits).alias("score")).agg(F.sum("same").alias("same"), F.sum("other").alias("other"))

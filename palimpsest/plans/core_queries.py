@@ -15,7 +15,7 @@ from palimpsest.functions.hashing import band_hashes, hash_feature
 from palimpsest.functions.text import n_pairs, n_words, tokens
 from palimpsest.operators import chunker, corpus, encode, evaluate, retrieval
 from palimpsest.session import stage
-from palimpsest.sources.tables import table
+from palimpsest.sources.tables import spread, table
 from palimpsest.store import effective, live, search
 
 CFG = EngineConfig()
@@ -57,7 +57,13 @@ def sql_final(h: str) -> str:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+
+
+def _idf(docs: DataFrame) -> tuple[DataFrame, float]:
+    """The corpus's idf table, written once, and its running maximum."""
+    idf = stage(corpus.sequential_idf(docs), "idf")
+    return idf, idf.agg(F.max("top_idf")).first()[0] or 0.0
 
 
 def _asked(docs: DataFrame) -> DataFrame:
@@ -65,8 +71,8 @@ def _asked(docs: DataFrame) -> DataFrame:
 
 
 def _lexicon(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    post = corpus.postings(docs)
-    return post, corpus.term_stats(post), corpus.lengths(docs)
+    post = stage(corpus.postings(docs), "postings")
+    return post, stage(corpus.term_stats(post), "stats"), corpus.lengths(docs)
 
 
 # ---- text
@@ -152,8 +158,7 @@ def reloaded_idf(spark, d):
 
 @query(f"with {IDF} select term, case when m <= 0 then 3 else trunc(greatest(1.0, 3 * ((idf / m) * (idf / m))))::int end as probes from idf, top")
 def scaled_probes(spark, d):
-    i = corpus.sequential_idf(_docs(spark, d))
-    top = i.agg(F.max("top_idf")).first()[0] or 0.0
+    i, top = _idf(_docs(spark, d))
     return i.select("term", corpus.scaled_probes(F.col("idf"), F.lit(top), CFG.token_probes).alias("probes"))
 
 
@@ -183,8 +188,7 @@ FEATURES = IDF + f""",
 @query(f"with {FEATURES} select doc_id as id, count(*) as n_bits, string_agg(b::varchar, ' ' order by b) as bits from bit group by 1")
 def text_fingerprints(spark, d):
     docs = _docs(spark, d)
-    idf = corpus.sequential_idf(docs)
-    top = idf.agg(F.max("top_idf")).first()[0] or 0.0
+    idf, top = _idf(docs)
     return _shown(encode.encode_texts(docs, "doc_id", idf, top))
 
 
@@ -195,18 +199,16 @@ def _shown(prints: DataFrame) -> DataFrame:
 @query()
 def query_fingerprints(spark, d):
     docs = _docs(spark, d)
-    idf = corpus.sequential_idf(docs)
-    top = idf.agg(F.max("top_idf")).first()[0] or 0.0
+    idf, top = _idf(docs)
     return _shown(encode.encode_texts(docs.where("doc_id % 20 = 0"), "doc_id", idf, top, query=True))
 
 
-NEWEST = """newest as (select chunk_id as id, list_sort(list_distinct(list_filter(coalesce(arg_max(bits, (written_at, coalesce(bits, []::int[]))), []::int[]), lambda b: b >= 0 and b < 10240))) as bits from fingerprints where chunk_id is not null group by 1)"""
 NEWEST = """ranked as (select chunk_id as id, bits, row_number() over (partition by chunk_id order by written_at desc, bits desc nulls last) as r from fingerprints where chunk_id is not null),
  newest as (select id, list_sort(list_distinct(list_filter(coalesce(bits, []::int[]), lambda b: b >= 0 and b < 10240))) as bits from ranked where r = 1)"""
 
 
 def _prints(spark, d):
-    rows = table(spark, d, "fingerprints").where("chunk_id is not null").groupBy(F.col("chunk_id").alias("id")).agg(F.max(F.struct("written_at", "bits")).alias("r"))
+    rows = spread(table(spark, d, "fingerprints"), "chunk_id").where("chunk_id is not null").groupBy(F.col("chunk_id").alias("id")).agg(F.max(F.struct("written_at", "bits")).alias("r"))
     bits = F.filter(F.coalesce("r.bits", F.array().cast("array<int>")), lambda b: (b >= 0) & (b < CFG.bits))
     return rows.select("id", F.array_sort(F.array_distinct(bits)).alias("bits"))
 
@@ -346,7 +348,7 @@ PARENTS = "parents as (select chunk_id, min(parent_memory_id) as parent_id from
 @query(f"with {LANES}, {PARENTS} select qid, coalesce(parent_id, id) as id, round(max(score), 6) as score from fused left join parents on parents.chunk_id = fused.id group by 1, 2")
 def parent_scores(spark, d):
     parents = table(spark, d, "chunks").where("chunk_id is not null").groupBy("chunk_id").agg(F.min("parent_memory_id").alias("parent_id"))
-    return retrieval.to_parents(retrieval.fuse(_lanes(spark, d), 1 << 30), parents).select("qid", "id", F.round("score", 6).alias("score"))
+    return retrieval.to_parents(retrieval.fused_scores(_lanes(spark, d)), parents).select("qid", "id", F.round("score", 6).alias("score"))
 
 
 @query(f"with {LISTS}, {PARENTS} select qid, coalesce(parent_id, id) as id, round(max(score), 6) as score from fused left join parents on parents.chunk_id = fused.id group by 1, 2")
@@ -387,8 +389,7 @@ def hybrid_search(spark, d):
     keyed = parts.select(F.col("chunk_id").alias("doc_id"), "text")
     post = stage(corpus.postings(keyed), "postings")
     stats, lens = stage(corpus.term_stats(post), "stats"), post.groupBy("id").agg(F.sum("tf").alias("len"))
-    idf = stage(corpus.sequential_idf(docs), "idf")
-    top = idf.agg(F.max("top_idf")).first()[0] or 0.0
+    idf, top = _idf(docs)
     prints = stage(encode.encode_texts(keyed, "doc_id", idf, top).withColumn("kind", F.lit("text")), "prints")
     tables = {"docs": docs, "chunks": parts, "postings": post, "lengths": lens, "stats": stats, "idf": idf, "prints": prints}
     return search(_asked(docs), tables, 10, CFG).select("qid", "id", F.round("score", 6).alias("score"), "rank")
@@ -421,28 +422,25 @@ def dense_search(spark, d):
 COS = "c as (select q.vec_id as qid, e.vec_id as id, e.label, q.label as truth, list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: q.embedding[i]::double * e.embedding[i]::double)) as score from embeddings q, embeddings e where q.vec_id % 20 = 0 and e.vec_id <> q.vec_id)"
 
 
-def _cosine(spark, d):
-    v = table(spark, d, "embeddings")
-    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
-    return retrieval.cosine(q, v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))), v
+def _vectors(spark, d):
+    v = spread(table(spark, d, "embeddings"), "vec_id").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    return v.where("id % 20 = 0").withColumnRenamed("id", "qid"), v
 
 
 @query(f"with {COS} {TOP10.format(t='c')}")
 def cosine_topk(spark, d):
-    return retrieval.top_k(_cosine(spark, d)[0], 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+    return retrieval.cosine(*_vectors(spark, d), 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"with {COS}, b as (select qid, label, max(score) as best from c group by 1, 2) select qid, arg_max(label, (round(best, 9), -label)) as predicted, round(max(best), 6) as best from b group by 1")
 def nearest_class(spark, d):
-    c, v = _cosine(spark, d)
-    return evaluate.predictions(evaluate.class_scores(c, v.select(F.col("vec_id").alias("id"), "label"))).select("qid", "predicted", F.round("best", 6).alias("best"))
+    return evaluate.predictions(retrieval.class_cosines(*_vectors(spark, d))).select("qid", F.col("predicted").cast("int").alias("predicted"), F.round("best", 6).alias("best"))
 
 
 @query(f"with {COS}, b as (select qid, truth, label, max(score) as best from c group by 1, 2, 3), p as (select qid, truth, arg_max(label, (round(best, 9), -label)) as predicted from b group by 1, 2) select count(*) as queries, round(avg((truth = predicted)::int), 9) as accuracy from p")
 def class_accuracy(spark, d):
-    c, v = _cosine(spark, d)
-    labels = v.select(F.col("vec_id").alias("id"), "label")
-    p = evaluate.predictions(evaluate.class_scores(c, labels)).join(labels.select(F.col("id").alias("qid"), F.col("label").alias("truth")), "qid")
+    q, v = _vectors(spark, d)
+    p = evaluate.predictions(retrieval.class_cosines(q, v)).join(q.select("qid", F.col("label").alias("truth")), "qid")
     return p.agg(F.count("*").alias("queries"), F.round(F.avg((F.col("truth") == F.col("predicted")).cast("int")), 9).alias("accuracy"))
 
 
@@ -478,17 +476,17 @@ QRELS = "plain as (select doc_id, lower(regexp_replace(coalesce(source, ''), '\\
 def retrieval_metrics(spark, d):
     docs = _docs(spark, d)
     plain = table(spark, d, "documents").select("doc_id", F.concat(F.lower(F.regexp_replace(F.coalesce("source", F.lit("")), r"\s+", "")), F.lit("/"), F.lower(F.trim(F.coalesce("lang", F.lit(""))))).alias("g"))
-    qrels = plain.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), "g").join(plain.withColumnRenamed("doc_id", "id"), "g").where("qid <> id").select("qid", "id")
-    found = retrieval.lexical(_asked(docs), *_lexicon(docs), 1 << 30).where("qid <> id").drop("rank")
-    return evaluate.metrics(retrieval.top_k(found, 100), qrels)
+    # a query's relevant documents are those of its group, so their number is the group's and no pair is made
+    sizes = plain.groupBy("g").agg((F.count("*") - 1).alias("relevant")).where("relevant > 0")
+    asked = plain.where("doc_id % 20 = 0").join(sizes, "g").select(F.col("doc_id").alias("qid"), F.col("g").alias("qg"), "relevant")
+    found = retrieval.top_k(retrieval.lexical(_asked(docs), *_lexicon(docs), 101).where("qid <> id").drop("rank"), 100)
+    judged = found.join(asked, "qid").join(plain.withColumnRenamed("doc_id", "id"), "id").withColumn("rel", (F.col("g") == F.col("qg")).cast("int"))
+    return evaluate.metrics_of(judged)
 
 
 @query(f"with {COS}, x as (select round(score, 6) as s, (label = truth)::int as p from c), k as (select s, sum(p) as p, sum(1 - p) as n from x group by 1), w as (select p, n, coalesce(sum(n) over (order by s rows between unbounded preceding and 1 preceding), 0) as below from k) select round(sum(p * (below + n / 2)) / (sum(p) * sum(n)), 9) as auroc from w")
 def same_class_auroc(spark, d):
-    c, v = _cosine(spark, d)
-    lab = v.select(F.col("vec_id").alias("id"), "label")
-    x = c.join(lab, "id").join(lab.select(F.col("id").alias("qid"), F.col("label").alias("truth")), "qid")
-    return evaluate.auroc(x.select(F.round("score", 6).alias("score"), (F.col("label") == F.col("truth")).cast("int").alias("positive")))
+    return evaluate.auroc_of_counts(retrieval.cosine_histogram(*_vectors(spark, d)))
 
 
 @query("with v as (select value, row_number() over (order by value) - 1 as place, count(*) over () as n from events where value is not null) select value from v where place = floor((n - 1) * 0.95)")
@@ -499,15 +497,15 @@ def low_percentile(spark, d):
 @query("with best as (select qid, memory_id, max(score) as s from lane_hits where lane = 'semantic' and score is not null and not isnan(score) and score <> -1e9 group by 1, 2), r as (select *, row_number() over (partition by qid order by round(s, 9) desc, memory_id) as rank from best), k as (select case when qid % 2 = 0 then 'even' else 'odd' end as category, qid, min(case when memory_id % 3 = 0 then rank end) as spot from r group by 1, 2) select category, count(*) as questions, round(avg(coalesce(spot <= 1, false)::int), 9) as hit_1, round(avg(coalesce(spot <= 5, false)::int), 9) as hit_5, round(avg(coalesce(spot <= 10, false)::int), 9) as hit_10 from k group by 1")
 def category_hits(spark, d):
     """Hit rates at 1, 5 and 10 per category of questions; parity of the query stands for the category, ids divisible by 3 for answers."""
-    hits = _lanes_of(spark, d, "semantic")
+    hits = _lanes_of(spark, d, "semantic", 10)
     at = hits.groupBy("qid").agg(F.min(F.when(F.col("id") % 3 == 0, F.col("rank"))).alias("at")).withColumn("category", F.when(F.col("qid") % 2 == 0, "even").otherwise("odd"))
     rate = lambda n: F.round(F.avg(F.coalesce(F.col("at") <= n, F.lit(False)).cast("int")), 9).alias(f"hit_{n}")
     return at.groupBy("category").agg(F.count("*").alias("questions"), rate(1), rate(5), rate(10))
 
 
-def _lanes_of(spark, d, name):
+def _lanes_of(spark, d, name, k):
     hits = table(spark, d, "lane_hits").where("score is not null and not isnan(score) and score <> -1e9").where(F.col("lane") == name)
-    return retrieval.top_k(hits.groupBy("qid", F.col("memory_id").alias("id")).agg(F.max("score").alias("score")), 1 << 30)
+    return retrieval.top_k(hits.groupBy("qid", F.col("memory_id").alias("id")).agg(F.max("score").alias("score")), k)
 
 
 # ---- the log

@@ -1,11 +1,13 @@
 import math
+import random
 
+import numpy as np
 import pytest
 
 from palimpsest.config import EngineConfig
 from palimpsest.functions.hashing import hash_features
 from palimpsest.functions.text import tokens
-from palimpsest.operators import chunker, corpus, encode, evaluate, retrieval
+from palimpsest.operators import blocks, chunker, corpus, encode, evaluate, retrieval
 from palimpsest.sources import readers
 from palimpsest.store import Engine
 from palimpsest.streaming import ingest
@@ -24,7 +26,7 @@ def test_hash(word, value):
 
 
 def test_tokens(spark):
-    df = spark.createDataFrame([("The quick-brown fox!!!",), ("Kelvin İstanbul",), ("...",), ("",), (None,)], "text string")
+    df = spark.createDataFrame([("Two RED-foxes, 3x!",), ("Kelvin İstanbul",), ("?;",), ("",), (None,)], "text string")
     assert [r.t for r in df.select(tokens(F.col("text")).alias("t")).collect()] == [["two", "red", "foxes", "3x"], ["elvin", "stanbul"], [], [], []]
 
 
@@ -57,6 +59,29 @@ def test_jaccard_and_bands(spark):
     assert hits == {1: 79, 2: 80, 3: 79}  # one filled band differs, all others are empty in both
 
 
+@pytest.mark.parametrize("k", [3, 500])
+def test_blocks_find_the_best(spark, monkeypatch, k):
+    for name, size in (("STORED", 40), ("ASKED", 17), ("LEAST", 10), ("_PARTS", 5), ("_TILE", 50)):
+        monkeypatch.setattr(blocks, name, size)
+    rnd = random.Random(k)
+    rows = {i: {f: 1.0 + rnd.randrange(3) for f in {rnd.randrange(30) ** 2 // 30 for _ in range(rnd.randrange(9))}} for i in rnd.sample(range(10**6), 130)}
+    df = spark.createDataFrame([(i, sorted(r), [r[f] for f in sorted(r)]) for i, r in rows.items()], "id long, f array<long>, w array<double>")
+
+    def score(a, b):
+        q, d = blocks.Sparse(a, "f"), blocks.Sparse(b, "f")
+        s = blocks.product(q.n, d.n, q.row, q.feature, blocks.column(a, "w"), d.row, d.feature, blocks.column(b, "w"))
+        return np.where(s > 0, s, -np.inf)
+
+    asked = df.where("id % 2 = 0").withColumnRenamed("id", "qid").unionByName(spark.createDataFrame([(None, [1], [1.0])], "qid long, f array<long>, w array<double>"))
+    got = {(r.qid, r.id): (r.score, r.rank) for r in retrieval.top_k(blocks.top_scores(asked, df, score, k), k).collect()}
+    want = {}
+    for q in (i for i in rows if i % 2 == 0):
+        s = sorted((-sum(w * rows[i].get(f, 0) for f, w in rows[q].items()), i) for i in rows)
+        want |= {(q, i): (-v, n + 1) for n, (v, i) in enumerate(s[:k]) if v < 0}
+    assert got == want
+    assert blocks.top_scores(asked, df.where("false"), score, k).count() == 0 and blocks.top_scores(asked.where("false"), df, score, k).count() == 0
+
+
 def test_short_texts_are_candidates(spark):
     rows = [(i, [100 * i, 100 * i + 7, 5000 + 40 * i, 9000 + i]) for i in range(1, 30)] + [(30, [101, 109, 5041, 9002]), (31, [])] + [(32 + i, list(range(128 * i, 10240, 200 - i))) for i in range(3)]
     prints = spark.createDataFrame(rows, "id long, bits array<int>")
@@ -159,8 +184,6 @@ def test_readers(spark, tmp_path):
     assert readers.sessions(t).first().text == "a: hi\nb: you"
     import struct
 
-    import numpy as np
-
     raw = struct.pack("<4s7I", b"ADLV", 1, 1, 1, 2, 2, 0, 0) + np.array([1, 2, 3, 4], "<f4").tobytes() + np.array([0, 1], "<u4").tobytes()
     (tmp_path / "f.bin").write_bytes(raw)
     assert [(r.split, r.embedding, r.label) for r in readers.features_binary(spark, str(tmp_path / "f.bin")).collect()] == [("train", [1.0, 2.0], 0), ("test", [3.0, 4.0], 1)]
