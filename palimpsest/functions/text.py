@@ -25,3 +25,8 @@ def n_pairs(c: Column) -> Column:
     """Adjacent character pairs inside words: the words' lengths less the number of words."""
     t = ascii_lower(F.coalesce(c, F.lit("")))
     return F.length(F.regexp_replace(t, "[^a-z0-9]+", "")) - F.size(tokens(c))
+
+
+def timestamp_text(ts: Column) -> Column:
+    """A time to the second; `unknown` where there is none or it is the epoch."""
+    return F.coalesce(F.when(ts != F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.date_format(ts, "yyyy-MM-dd HH:mm:ss")), F.lit("unknown"))

@@ -88,3 +88,23 @@ def stratified(df: DataFrame, label: str, ident: str, n: int) -> DataFrame:
 def code_bytes(segments: Column) -> Column:
     """Stored bytes of a fingerprint by its non-empty 64-bit segments: listed, masked, or whole."""
     return F.when(segments <= 20, 1 + 9 * segments).when(segments <= 157, 21 + 8 * segments).otherwise(1280)
+
+
+MASKED = -1e9  # fixed value: score of a class that is not active
+
+
+def masked(scores: DataFrame, active: list[int]) -> DataFrame:
+    """(qid, label, score) of (qid, label, best) with the classes that are not `active` masked."""
+    return scores.select("qid", "label", F.when(F.col("label").isin(active), F.col("best")).otherwise(F.lit(MASKED)).alias("score"))
+
+
+def dense_scores(scores: DataFrame, most: DataFrame) -> DataFrame:
+    """(qid, scores): an array with a place for every class from 0 to `most` (one row), -1 where (qid, label, best) has none."""
+    m = scores.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct(F.col("label").cast("int"), "best"))).alias("m"))
+    at = F.transform(F.sequence(F.lit(0), F.col("most").cast("int")), lambda i: F.coalesce(F.col("m")[i], F.lit(-1.0)))
+    return m.join(F.broadcast(most)).select("qid", at.alias("scores"))
+
+
+def with_keys(results: DataFrame, keys: DataFrame) -> DataFrame:
+    """`results` with the documents' external keys (id, doc_key), empty where there is none."""
+    return results.join(keys.select("id", "doc_key"), "id", "left").withColumn("doc_key", F.coalesce("doc_key", F.lit("")))

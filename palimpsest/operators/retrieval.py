@@ -50,6 +50,24 @@ def lexical(queries: DataFrame, post: DataFrame, stats: DataFrame, lens: DataFra
     return top_k(blocks.top_scores(asked, rows, _likelihood(cfg.dirichlet_mu), k), k)
 
 
+def lexical_within(queries: DataFrame, docs: DataFrame, k: int, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+    """(qid, id, score, rank): `lexical` with an index of its own for every namespace; `queries` (ns, qid, text), `docs` (ns, id, text).
+
+    Terms meet within their namespace, which for questions with a few dozen documents each is selective.
+    """
+    post = docs.select("ns", "id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("ns", "id", "term").agg(F.count("*").alias("tf"))
+    stats = post.groupBy("ns", "term").agg(F.sum("tf").alias("cf"))
+    total = stats.groupBy("ns").agg(F.sum("cf").cast("double").alias("total"))
+    q = queries.select("ns", "qid", tokens(F.col("text")).alias("t"))
+    terms = q.select("ns", "qid", F.explode("t").alias("term")).groupBy("ns", "qid", "term").agg(F.count("*").alias("qtf"))
+    hits = terms.join(stats, ["ns", "term"]).join(total, "ns").join(post, ["ns", "term"])
+    mu = F.lit(cfg.dirichlet_mu)
+    sums = hits.groupBy("qid", "id").agg(F.sum(F.col("qtf") * F.log(1 + F.col("tf") / (mu * F.col("cf") / F.col("total")))).alias("s"))
+    lens = docs.select("id", F.size(tokens(F.col("text"))).alias("len"))
+    scored = sums.join(q.select("qid", F.size("t").alias("qlen")), "qid").join(lens, "id").select("qid", "id", (F.col("s") + F.col("qlen") * F.log(mu / (F.col("len") + mu))).alias("score"))
+    return top_k(scored, k)
+
+
 def bands(prints: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """(id, hashes): a hash per band of the fingerprint."""
     return prints.select("id", band_hashes("bits", F.lit(cfg.lsh_bands), F.lit(cfg.lsh_rows)).alias("hashes"))
@@ -162,6 +180,18 @@ def semantic(queries: DataFrame, prints: DataFrame, k: int, cfg: EngineConfig =
     return top_k(pairs.select("qid", "id", score.alias("score")), k)
 
 
+def _jaccards(asked: pa.Table, stored: pa.Table) -> np.ndarray:
+    q, d = blocks.Sparse(asked, "bits"), blocks.Sparse(stored, "bits")
+    both = blocks.product(q.n, d.n, q.row, q.feature, np.ones(len(q.row)), d.row, d.feature, np.ones(len(d.row)))
+    out = both / np.maximum(q.sizes[:, None] + d.sizes[None, :] - both, 1)
+    return np.where(blocks.column(asked, "key")[:, None] == blocks.column(stored, "key")[None, :], -np.inf, out)
+
+
+def plain_jaccard(queries: DataFrame, prints: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score, rank) by Jaccard similarity over all bits, itself left out; two rows without bits have 0."""
+    return top_k(blocks.top_scores(queries.select("qid", "bits"), prints.select("id", "bits"), _jaccards, k), k)
+
+
 def fused_scores(lanes: list[DataFrame], cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """(qid, id, score): the sums of the lanes' reciprocal ranks, each raised by how its score lies within its lane's."""
     every = None

@@ -5,14 +5,16 @@ Searches take every row whose id is divisible by 20 as a query, against all rows
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.config import EngineConfig
 from palimpsest.functions.hashing import band_hashes, hash_feature
-from palimpsest.functions.text import n_pairs, n_words, tokens
+from palimpsest.functions.text import n_pairs, n_words, timestamp_text, tokens
 from palimpsest.operators import chunker, corpus, encode, evaluate, retrieval
 from palimpsest.session import stage
 from palimpsest.sources.tables import spread, table
@@ -196,7 +198,21 @@ def _shown(prints: DataFrame) -> DataFrame:
     return prints.select("id", F.size("bits").cast("long").alias("n_bits"), F.array_join(F.transform("bits", lambda b: b.cast("string")), " ").alias("bits"))
 
 
-@query()
+QUERY_FEATURES = IDF + f""",
+ occ as (select d.doc_id, d.t[p.i] as token, p.i as pos from docs d, lateral (select unnest(range(1, len(d.t) + 1)) as i) p where d.doc_id % 20 = 0),
+ pair as (select a.doc_id, a.token as x, b.token as y from occ a join occ b on a.doc_id = b.doc_id and b.pos = a.pos + 1),
+ part as (select doc_id, token as f, 0 as base, 4096 as size, 3 as most, 2.0 as times from occ
+  union select doc_id, left(token, 4), 0, 4096, 3, 1.0 from occ where length(token) >= 4 union select doc_id, right(token, 4), 0, 4096, 3, 1.0 from occ where length(token) >= 4
+  union select doc_id, substr(token, g.i, 2), 4096, 3072, 1, 2.0 from occ, lateral (select unnest(range(1, length(token))) as i) g where length(token) >= 2),
+ feat as (select doc_id, f, base, size, greatest(1, trunc(trunc(greatest(1.0, most * ((coalesce(idf, 0) / m) * (coalesce(idf, 0) / m)))) * times)::int) as n from part left join idf on idf.term = part.f, top
+  union all select distinct doc_id, x || '_' || y, 0, 4096, 2 from pair),
+ word as (select f, {sql_final(sql_hash('f'))} as h from (select distinct f from feat union select distinct token from occ)),
+ bit as (
+  select doc_id, ((h + i::uhugeint * 11400714819323198485::uhugeint) % {M64} % size::uhugeint)::int + base as b from (select doc_id, f, base, size, unnest(range(0, n)) as i from feat) join word using (f)
+  union select p.doc_id, ((xor(a.h, c.h) + i::uhugeint * 11400714819323198485::uhugeint) % {M64} % 3072)::int + 7168 from pair p join word a on a.f = p.x join word c on c.f = p.y, (select unnest([0, 1]) as i))"""
+
+
+@query(f"with {QUERY_FEATURES} select doc_id as id, count(*) as n_bits, string_agg(b::varchar, ' ' order by b) as bits from bit group by 1")
 def query_fingerprints(spark, d):
     docs = _docs(spark, d)
     idf, top = _idf(docs)
@@ -381,18 +397,84 @@ def reranked(spark, d):
     return out.select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@query()
-def hybrid_search(spark, d):
-    """Texts chunked, encoded and indexed, then searched by both lanes; the semantic lane counts bands empty in both, as the reference does."""
+def _renamed(sql: str, prefix: str) -> str:
+    """The steps of an encoding's SQL under names of their own."""
+    return re.sub(r"\b(occ|sel|pair|part|feat|word|bit)\b", prefix + r"\1", sql[len(IDF) :])
+
+
+_CONTENT = "list_transform(list_distinct(list_transform(bits, lambda b: b >> 7)), lambda x: x::varchar || ':' || array_to_string(list_filter(bits, lambda b: b >> 7 = x), ','))"
+HYBRID = f"""{CHUNKS}, per as (select parent_id, count(*) as n from chunks group by 1),
+ base as (select parent_id, n, coalesce(sum(case when n = 1 then 1 else n + 1 end) over (order by parent_id rows between unbounded preceding and 1 preceding), 0)::bigint as memory_id from per),
+ kept as (select parent_id, n, case when n = 1 then memory_id else memory_id + 1 + pos end as doc_id, text from chunks join base using (parent_id)),
+ {IDF}, cdocs as (select doc_id, parent_id, n, {TOK} as t from kept){_renamed(QUERY_FEATURES, 'q_')}{_renamed(FEATURES, 'c_').replace('from docs d', 'from cdocs d')},
+ qp as (select doc_id as qid, list(b order by b) as bits from (select distinct * from q_bit) group by 1), cp as (select doc_id as id, list(b order by b) as bits from (select distinct * from c_bit) group by 1),
+ qb as (select *, {_CONTENT} as held from qp), cb as (select *, {_CONTENT} as held from cp),
+ pairs as (select q.qid, d.id, list_intersect(q.bits, d.bits) as b, q.bits as qb, d.bits as db from qb q, cb d
+  where 80 - len(list_distinct(list_transform(list_concat(q.bits, d.bits), lambda b: b >> 7))) + len(list_intersect(q.held, d.held)) >= 2){PAIRS.split("qid, d.id, list_intersect", 1)[1].split("q.id % 20 = 0)", 1)[1]},
+ ctok as (select doc_id, unnest(t) as term from cdocs), cpost as (select doc_id, term, count(*) as tf from ctok group by 1, 2), cstats as (select term, sum(tf) as cf from cpost group by 1), tot as (select sum(cf) as total from cstats),
+ asked as (select doc_id as qid, unnest(t) as term from docs where doc_id % 20 = 0), qt as (select qid, term, count(*) as qtf from asked group by 1, 2),
+ hit as (select qid, doc_id as id, sum(qtf * ln(1 + tf / (2000.0::double * cf / total))) as s from qt join cstats using (term) join cpost using (term), tot group by 1, 2),
+ lex as (select qid, id, s + len(q.t) * ln(2000.0::double / (len(c.t) + 2000.0::double)) as score from hit join docs q on q.doc_id = qid join cdocs c on c.doc_id = id),
+ lanes as (select 1 as lane, qid, id, score from scored union all select 2, qid, id, score from lex),
+ cut as (select * from (select *, row_number() over (partition by lane, qid order by round(score, 9) desc, id) as rank from lanes) where rank <= 10),
+ share as (select qid, id, 1.0::double / (10 + rank) * (1 + case when max(score) over w - min(score) over w <= 1e-9 then 1.0::double else (score - min(score) over w) / (max(score) over w - min(score) over w) end) as c from cut window w as (partition by lane, qid)),
+ fused as (select * from (select *, row_number() over (partition by qid order by round(score, 9) desc, id) as rank from (select qid, id, sum(c) as score from share group by 1, 2)) where rank <= 10),
+ first as (select qid, parent_id as id, max(score) as score from fused join cdocs on cdocs.doc_id = fused.id group by 1, 2),
+ qtok as (select doc_id as qid, t[i.i] as term, case when i.i < len(t) then t[i.i] || ' ' || t[i.i + 1] end as gram from docs, lateral (select unnest(range(1, len(t) + 1)) as i) i where doc_id % 20 = 0),
+ body as (select doc_id as id, {LOW} as low, list_distinct({TOK}) as dt from documents), one as (select parent_id as id, len(t) as len from cdocs where n = 1),
+ avgl as (select (select sum(len(t)) from cdocs) / (select count(*) from documents) as a),
+ feats as (select f.qid, f.id, f.score, coalesce(sum(coalesce(idf, 0)), 0) as w, coalesce(sum(case when list_contains(dt, q.term) then coalesce(idf, 0) else 0 end), 0) as wc, coalesce(avg(list_contains(dt, q.term)::int), 0) as cov,
+  coalesce(avg(contains(low, gram)::int) filter (where gram is not null), 0) as phrase, coalesce(any_value(one.len), 0) as len from first f left join qtok q using (qid) left join idf using (term) join body b on b.id = f.id left join one on one.id = f.id group by 1, 2, 3),
+ boosted as (select qid, id, score + 0.3 * case when w > 0 then wc / w else cov end + 0.2 * phrase + 0.05 * (1 / (1 + ln(1 + len / greatest(1.0, a)))) as score from feats, avgl)"""
+
+
+def _index(spark, d) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The documents, chunked, encoded and indexed."""
     docs = _docs(spark, d)
     parts = stage(chunker.with_ids(chunker.chunks_of(docs)).select("parent_id", "chunk_id", "pos", "text"), "chunks")
     keyed = parts.select(F.col("chunk_id").alias("doc_id"), "text")
     post = stage(corpus.postings(keyed), "postings")
-    stats, lens = stage(corpus.term_stats(post), "stats"), post.groupBy("id").agg(F.sum("tf").alias("len"))
     idf, top = _idf(docs)
     prints = stage(encode.encode_texts(keyed, "doc_id", idf, top).withColumn("kind", F.lit("text")), "prints")
-    tables = {"docs": docs, "chunks": parts, "postings": post, "lengths": lens, "stats": stats, "idf": idf, "prints": prints}
-    return search(_asked(docs), tables, 10, CFG).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+    return docs, {"docs": docs, "chunks": parts, "postings": post, "lengths": post.groupBy("id").agg(F.sum("tf").alias("len")), "stats": stage(corpus.term_stats(post), "stats"), "idf": idf, "prints": prints}
+
+
+def _searched(spark, d, cfg: EngineConfig) -> DataFrame:
+    docs, tables = _index(spark, d)
+    return search(_asked(docs), tables, 10, cfg).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"{HYBRID} {TOP10.format(t='boosted')}")
+def hybrid_search(spark, d):
+    """Texts chunked, encoded and indexed, then searched by both lanes; the semantic lane counts bands empty in both, as the reference does."""
+    return _searched(spark, d, CFG)
+
+
+@query(f"{HYBRID.replace('from lanes) where rank', 'from lanes where lane = 1) where rank')} {TOP10.format(t='boosted')}")
+def semantic_only_search(spark, d):
+    """The lane ablation: `hybrid_search` without its lexical lane."""
+    return _searched(spark, d, replace(CFG, lexical_enabled=False))
+
+
+@query(f"{HYBRID.replace('from lanes) where rank', 'from lanes where lane = 2) where rank')} {TOP10.format(t='boosted')}")
+def lexical_only_search(spark, d):
+    """The lane ablation: `hybrid_search` without its semantic lane."""
+    return _searched(spark, d, replace(CFG, semantic_enabled=False))
+
+
+NAMESPACES = f"""ns as (select doc_id, lower(regexp_replace(coalesce(source, ''), '\\s+', '', 'g')) as ns, {TOK} as t from documents), tok as (select ns, doc_id, unnest(t) as term from ns), post as (select ns, doc_id, term, count(*) as tf from tok group by 1, 2, 3),
+ stats as (select ns, term, sum(tf) as cf from post group by 1, 2), tot as (select ns, sum(cf) as total from stats group by 1), q as (select ns, doc_id as qid, unnest(t) as term from ns where doc_id % 20 = 0), qt as (select ns, qid, term, count(*) as qtf from q group by 1, 2, 3),
+ hit as (select ns, qid, doc_id as id, sum(qtf * ln(1 + tf / (2000.0::double * cf / total))) as s from qt join stats using (ns, term) join tot using (ns) join post using (ns, term) group by 1, 2, 3),
+ lex as (select qid, id, s + len(a.t) * ln(2000.0::double / (len(b.t) + 2000.0::double)) as score from hit join ns a on a.doc_id = qid join ns b on b.doc_id = id)"""
+
+
+@query(f"with {NAMESPACES} {TOP10.format(t='lex')}")
+def namespace_topk(spark, d):
+    """The lexical lane with an index of its own for every source."""
+    ns = F.lower(F.regexp_replace(F.coalesce("source", F.lit("")), r"\s+", ""))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", ns.alias("ns")), "doc_id")
+    found = retrieval.lexical_within(docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "qid"), docs.withColumnRenamed("doc_id", "id"), 10)
+    return found.select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
 # ---- dense vectors
@@ -401,18 +483,24 @@ def vector_norms(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(encode.norm(F.col("embedding")), 5).alias("norm"))
 
 
-@query(f"""with v as (select vec_id, embedding as v, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) as len from embeddings),
+DENSE = f"""v as (select vec_id, embedding as v, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) as len from embeddings),
  dims as (select vec_id, i.i - 1 as dim, v[i.i] as x, abs(v[i.i]::double) / len as mag from v, lateral (select unnest(range(1, len(v) + 1)) as i) i where len >= 1e-8),
  top as (select * from (select *, row_number() over (partition by vec_id order by mag desc, dim) as r from dims) where r <= 128),
  feat as (select vec_id, dim || case when x < 0 then 'n' else 'p' end as f, least(4, greatest(1, trunc(round(mag, 6) * 12)::int)) as n from top),
  word as (select f, {sql_final(sql_hash('f'))} as h from (select distinct f from feat)),
- bit as (select distinct vec_id, {_PROBED.format(h='h', size=10240, base=0)} as b from (select vec_id, f, unnest(range(0, n)) as i from feat) join word using (f))
- select vec_id as id, count(*) as n_bits, string_agg(b::varchar, ' ' order by b) as bits from bit group by 1""")
+ bit as (select distinct vec_id, {_PROBED.format(h='h', size=10240, base=0)} as b from (select vec_id, f, unnest(range(0, n)) as i from feat) join word using (f))"""
+
+
+@query(f"with {DENSE} select vec_id as id, count(*) as n_bits, string_agg(b::varchar, ' ' order by b) as bits from bit group by 1")
 def dense_fingerprints(spark, d):
     return _shown(encode.encode_vectors(table(spark, d, "embeddings")))
 
 
-@query()
+# region-weighted Jaccard of every query (id, bits) of `newest` with every row
+DENSE_PAIRS = f"{DENSE}, newest as (select vec_id as id, coalesce(bits, []::int[]) as bits from embeddings left join (select vec_id, list(b order by b) as bits from bit group by 1) using (vec_id)), pairs as" + PAIRS.split(", pairs as", 1)[1]
+
+
+@query(f"with {DENSE_PAIRS} {TOP10.format(t='scored')}")
 def dense_search(spark, d):
     p = encode.encode_vectors(table(spark, d, "embeddings"))
     q = p.where("id % 20 = 0").withColumnRenamed("id", "qid")
@@ -444,6 +532,77 @@ def class_accuracy(spark, d):
     return p.agg(F.count("*").alias("queries"), F.round(F.avg((F.col("truth") == F.col("predicted")).cast("int")), 9).alias("accuracy"))
 
 
+BEST = f"{COS}, b as (select qid, truth, label, max(score) as best from c group by 1, 2, 3)"
+
+
+@query(f"with {BEST}, r as (select *, row_number() over (partition by qid order by round(best, 9) desc, label) as place from b) select count(*) as queries, round(avg((place <= 1)::int), 9) as top_1, round(avg((place <= 3)::int), 9) as top_3, round(avg((place <= 5)::int), 9) as top_5 from r where truth = label")
+def topk_accuracy(spark, d):
+    q, v = _vectors(spark, d)
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("best", 9).desc(), "label"))
+    true = retrieval.class_cosines(q, v).withColumn("place", place).join(q.select("qid", F.col("label").alias("truth")), "qid").where("label = truth")
+    return true.agg(F.count("*").alias("queries"), *[F.round(F.avg((F.col("place") <= k).cast("int")), 9).alias(f"top_{k}") for k in (1, 3, 5)])
+
+
+@query(f"with {BEST}, n as (select max(label) as most from embeddings), m as (select qid, map_from_entries(list((label, best))) as m from b group by 1) select qid, array_to_string(list_transform(range(0, most + 1), lambda i: format('{{:.4f}}', coalesce(m[i], -1.0)::double)), ' ') as scores from m, n")
+def class_score_arrays(spark, d):
+    """A dense array of scores per query, one per class in order, -1 where a class has none."""
+    q, v = _vectors(spark, d)
+    return evaluate.dense_scores(retrieval.class_cosines(q, v), v.agg(F.max("label").alias("most"))).select("qid", F.array_join(F.transform("scores", lambda x: F.format_string("%.4f", x)), " ").alias("scores"))
+
+
+@query(f"with {BEST} select qid, label, round(case when label < 5 then best else -1e9 end, 6) as score from b")
+def masked_classes(spark, d):
+    """Scores per class with all but the active classes masked."""
+    q, v = _vectors(spark, d)
+    return evaluate.masked(retrieval.class_cosines(q, v), [0, 1, 2, 3, 4]).select("qid", F.col("label").cast("int").alias("label"), F.round("score", 6).alias("score"))
+
+
+PROTO = f"{COS}, pick as (select vec_id, label, row_number() over (partition by label order by md5(vec_id::varchar)) as pick from embeddings), x as (select c.*, p.pick, q.pick as own from c join pick p on p.vec_id = c.id join pick q on q.vec_id = c.qid where p.pick <= 5)"
+JUDGED = "b as (select n, qid, truth, label, max(score) as best from t group by 1, 2, 3, 4), p as (select n, qid, truth, arg_max(label, (round(best, 9), -label)) as predicted from b group by 1, 2, 3)"
+
+
+def _prototypes(spark, d) -> DataFrame:
+    """(qid, truth, own, label, pick, best): scores against each of the first five vectors of every class; `own` is the query's place in its class."""
+    q, v = _vectors(spark, d)
+    picked = stage(evaluate.stratified(v, "label", "id", 1 << 30), "picked")
+    first = picked.where("pick <= 5").select("id", "v", (F.col("label") * 8 + F.col("pick")).alias("label"))
+    scores = retrieval.class_cosines(q, first).select("qid", F.floor(F.col("label") / 8).cast("int").alias("label"), (F.col("label") % 8).alias("pick"), "best")
+    return stage(scores.join(picked.select(F.col("id").alias("qid"), F.col("label").alias("truth"), F.col("pick").alias("own")), "qid"), "scores")
+
+
+def _accuracies(steps: DataFrame, name: str) -> DataFrame:
+    best = steps.groupBy("n", "qid", "truth", "label").agg(F.max("best").alias("best"))
+    p = best.groupBy("n", "qid", "truth").agg(F.max(F.struct(F.round("best", 9).alias("b"), (-F.col("label")).alias("l"))).alias("t"))
+    return p.groupBy(F.col("n").alias(name)).agg(F.count("*").alias("queries"), F.round(F.avg((-F.col("t.l") == F.col("truth")).cast("int")), 9).alias("accuracy"))
+
+
+@query(f"with {PROTO}, t as (select n, x.* from x, (select unnest([1, 2, 5]) as n) where pick <= n and own > n), {JUDGED} select n as shots, count(*) as queries, round(avg((truth = predicted)::int), 9) as accuracy from p group by 1")
+def few_shot_accuracy(spark, d):
+    s = _prototypes(spark, d).withColumn("n", F.explode(F.array(F.lit(1), F.lit(2), F.lit(5)))).where("pick <= n and own > n")
+    return _accuracies(s, "shots")
+
+
+@query(f"with {PROTO}, t as (select n, x.* from x, (select unnest([2, 4, 6, 8, 10]) as n) where label < n and truth < n and own > 5), {JUDGED} select n as classes, count(*) as queries, round(avg((truth = predicted)::int), 9) as accuracy from p group by 1")
+def incremental_accuracy(spark, d):
+    """Classes are added two at a time, five prototypes each; queries are those of the classes known by then."""
+    s = _prototypes(spark, d).withColumn("n", F.explode(F.array(*[F.lit(i) for i in (2, 4, 6, 8, 10)]))).where("label < n and truth < n and own > 5")
+    return _accuracies(s, "classes")
+
+
+@query(f"with {PROTO}, s as (select qid, round(max(score), 6) as s, any_value(truth < 5)::int as p from x where label < 5 and own > 5 group by 1), k as (select s, sum(p) as p, sum(1 - p) as n from s group by 1), w as (select p, n, coalesce(sum(n) over (order by s rows between unbounded preceding and 1 preceding), 0) as below from k) select round(sum(p * (below + n / 2)) / (sum(p) * sum(n)), 9) as auroc from w")
+def open_set_auroc(spark, d):
+    """How well the best score against five known classes tells their members from those of unknown ones."""
+    s = _prototypes(spark, d).where("label < 5 and own > 5").groupBy("qid").agg(F.round(F.max("best"), 6).alias("score"), F.max((F.col("truth") < 5).cast("int")).alias("positive"))
+    return evaluate.auroc(s)
+
+
+@query(f"with {NEWEST}, p as (select q.id as qid, e.id, len(list_intersect(q.bits, e.bits)) as i, len(q.bits) + len(e.bits) as s from newest q, newest e where q.id % 20 = 0 and e.id <> q.id), j as (select qid, id, i / greatest(s - i, 1) as score from p) select qid, id, round(score, 6) as score from (select *, row_number() over (partition by qid order by round(score, 9) desc, id) as rank from j) where rank = 1")
+def plain_jaccard_top1(spark, d):
+    """The other row with the highest plain Jaccard similarity over all bits; two empty rows have 0."""
+    p = _prints(spark, d)
+    return retrieval.plain_jaccard(p.where("id % 20 = 0").withColumnRenamed("id", "qid"), p, 1).select("qid", "id", F.round("score", 6).alias("score"))
+
+
 @query("select label, count(*) as vectors, min(vec_id) as first_id from embeddings group by 1")
 def class_index(spark, d):
     return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("vectors"), F.min("vec_id").alias("first_id"))
@@ -459,7 +618,11 @@ def projection_fingerprints(spark, d):
     return _shown(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), encode.encode_projection(F.col("embedding")).alias("bits")))
 
 
-@query()
+@query(f"""with word as (select {sql_final(sql_hash('dim::varchar').replace('list_prepend(0::uhugeint', 'list_prepend(42::uhugeint'))} as h, dim from (select unnest(range(0, (select max(len(embedding)) from embeddings))) as dim)),
+ dims as (select vec_id, i.i - 1 as dim, embedding[i.i]::double as x from embeddings, lateral (select unnest(range(1, len(embedding) + 1)) as i) i),
+ sums as (select vec_id, (h % 10240)::int as b, sum(x) as s from dims join word using (dim) group by 1, 2),
+ top as (select vec_id, b from (select *, row_number() over (partition by vec_id order by abs(s) desc, b) as r from sums where s <> 0) where r <= 128)
+ select vec_id as id, count(*) as n_bits, string_agg(b::varchar, ' ' order by b) as bits from top group by 1""")
 def count_sketch_fingerprints(spark, d):
     return _shown(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), encode.encode_count_sketch(F.col("embedding")).alias("bits")))
 
@@ -508,6 +671,11 @@ def _lanes_of(spark, d, name, k):
     return retrieval.top_k(hits.groupBy("qid", F.col("memory_id").alias("id")).agg(F.max("score").alias("score")), k)
 
 
+@query("select seq, coalesce(strftime(ts, '%Y-%m-%d %H:%M:%S'), 'unknown') as made from (select distinct seq, ts from wal)")
+def record_times(spark, d):
+    return table(spark, d, "wal").select("seq", "ts").distinct().select("seq", timestamp_text(F.col("ts")).alias("made"))
+
+
 # ---- the log
 EFFECTIVE = """w as (select distinct on (seq, memory_id) seq, memory_id, op, ts, text from wal where memory_id is not null),
  st as (select *, coalesce(last_value(case op when 'insert' then true when 'delete' then false end ignore nulls) over (partition by memory_id order by seq rows between unbounded preceding and 1 preceding), false) as alive from w),
