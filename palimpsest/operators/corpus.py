@@ -35,21 +35,36 @@ def ordinals(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return d.withColumn("_in", place).join(base, "_block").withColumn("ordinal", F.col("_in") + F.col("_base")).drop("_block", "_in", "_base")
 
 
+def _running_counts(docs: DataFrame, id_col: str) -> DataFrame:
+    """(term, at, base): lists of the ordinals of the documents with the term, of one block of documents each, and the term's count before it."""
+    terms = docs.select(id_col, F.array_distinct(tokens(F.col("text"))).alias("terms"))
+    each = terms.join(ordinals(docs.select(id_col), id_col), id_col).select("ordinal", F.explode("terms").alias("term"))
+    lists = each.groupBy("term", F.floor(F.col("ordinal") / _BLOCK).alias("block")).agg(F.sort_array(F.collect_list("ordinal")).alias("at"))
+    before = Window.partitionBy("term").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return lists.withColumn("base", F.coalesce(F.sum(F.size("at").cast("long")).over(before), F.lit(0)))
+
+
 def sequential_idf(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(term, df, last_ordinal, idf, top_idf) as insertion one by one leaves them: idf = ln(ordinal of the last insert with the term / df).
 
     `top_idf` is the highest value the term's idf ever had, so its maximum is the corpus's running maximum. Ids are unique.
     """
-    terms = docs.select(id_col, F.array_distinct(tokens(F.col("text"))).alias("terms"))
-    each = terms.join(ordinals(docs.select(id_col), id_col), id_col).select("ordinal", F.explode("terms").alias("term"))
-    # a term's ordinals, in lists of one block of documents each; its running count is the place in the list plus the blocks before
-    lists = each.groupBy("term", F.floor(F.col("ordinal") / _BLOCK).alias("block")).agg(F.sort_array(F.collect_list("ordinal")).alias("at"))
-    before = Window.partitionBy("term").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    lists = lists.withColumn("n", F.size("at").cast("long")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
     top = F.array_max(F.transform("at", lambda x, i: F.log(x / (F.col("base") + i + 1))))
-    return lists.select("term", "n", F.element_at("at", -1).alias("last"), top.alias("top")).groupBy("term").agg(
-        F.sum("n").alias("df"), F.max("last").alias("last_ordinal"), F.log(F.max("last") / F.sum("n")).alias("idf"), F.max("top").alias("top_idf")
-    )
+    lists = _running_counts(docs, id_col).select("term", F.size("at").cast("long").alias("n"), F.element_at("at", -1).alias("last"), top.alias("top"))
+    return lists.groupBy("term").agg(F.sum("n").alias("df"), F.max("last").alias("last_ordinal"), F.log(F.max("last") / F.sum("n")).alias("idf"), F.max("top").alias("top_idf"))
+
+
+def running_idf(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(id, term, idf) and (id, top): a document's terms' idf, and the corpus's running maximum, as they are just after its insertion."""
+    each = _running_counts(docs, id_col).select("term", "base", F.posexplode("at").alias("i", "ordinal"))
+    each = each.select("term", "ordinal", F.log(F.col("ordinal") / (F.col("base") + F.col("i") + 1)).alias("idf"))
+    ids = ordinals(docs.select(id_col), id_col).withColumnRenamed(id_col, "id")
+    own = each.groupBy("ordinal").agg(F.max("idf").alias("own")).withColumn("block", F.floor(F.col("ordinal") / _BLOCK))
+    up_to = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    blocks = own.groupBy("block").agg(F.max("own").alias("most"))
+    blocks = blocks.select((F.col("block") + 1).alias("block"), F.max("most").over(up_to(F.lit(0)).orderBy("block")).alias("before"))  # one row per block
+    tops = own.join(blocks, "block", "left").select("ordinal", F.greatest(F.max("own").over(up_to("block").orderBy("ordinal")), "before").alias("top"))
+    return each.join(ids, "ordinal").select("id", "term", "idf"), tops.join(ids, "ordinal").select("id", "top")
 
 
 def batch_idf(stats: DataFrame, n_docs: int) -> DataFrame:

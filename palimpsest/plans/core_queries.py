@@ -194,6 +194,27 @@ def text_fingerprints(spark, d):
     return _shown(encode.encode_texts(docs, "doc_id", idf, top))
 
 
+AS_OF = IDF + f""",
+ seen as (select doc_id, term, ordinal, ln(ordinal / rdf) as idf from run join ord using (ordinal)), tops as (select ordinal, max(max(idf)) over (order by ordinal) as m from seen group by 1),
+ occ as (select d.doc_id, d.t[p.i] as token, p.i as pos from docs d, lateral (select unnest(range(1, len(d.t) + 1)) as i) p),
+ sel as (select * from (select o.doc_id, token, pos, idf, m, row_number() over (partition by o.doc_id order by idf desc, pos) as r from occ o join seen s on s.doc_id = o.doc_id and s.term = o.token join tops using (ordinal)) where r <= 12),
+ pair as (select a.doc_id, a.token as x, b.token as y, a.m from sel a join sel b on a.doc_id = b.doc_id and b.pos = a.pos + 1),
+ feat as (
+  select distinct doc_id, token as f, case when m <= 0 then 3 else trunc(greatest(1.0, 3 * ((idf / m) * (idf / m))))::int end as n from sel
+  union select doc_id, left(token, 4), 1 from sel where length(token) >= 4 union select doc_id, right(token, 4), 1 from sel where length(token) >= 4
+  union select doc_id, x || '_' || y, case when m <= 0 then 2 else 1 end from pair),
+ word as (select f, {sql_final(sql_hash('f'))} as h from (select distinct f from feat union select distinct token from sel)),
+ bit as (
+  select doc_id, {_PROBED.format(h='h', size=4096, base=0)} as b from (select doc_id, f, unnest(range(0, n)) as i from feat) join word using (f)
+  union select p.doc_id, (xor(a.h, c.h) % 3072)::int + 7168 from pair p join word a on a.f = p.x join word c on c.f = p.y)"""
+
+
+@query(f"with {AS_OF} select doc_id as id, count(*) as n_bits, string_agg(b::varchar, ' ' order by b) as bits from bit group by 1")
+def as_of_fingerprints(spark, d):
+    """Documents encoded with the idf values of the moment of their insertion."""
+    return _shown(encode.encode_as_of(_docs(spark, d)))
+
+
 def _shown(prints: DataFrame) -> DataFrame:
     return prints.select("id", F.size("bits").cast("long").alias("n_bits"), F.array_join(F.transform("bits", lambda b: b.cast("string")), " ").alias("bits"))
 
@@ -627,6 +648,17 @@ def count_sketch_fingerprints(spark, d):
     return _shown(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), encode.encode_count_sketch(F.col("embedding")).alias("bits")))
 
 
+@query(f"""with v as (select vec_id, embedding as v, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) as len from embeddings),
+ dims as (select vec_id, i.i - 1 as dim, v[i.i] as x, abs(v[i.i]::double) / case when len > 0 then len else 1 end as mag from v, lateral (select unnest(range(1, len(v) + 1)) as i) i),
+ top as (select * from (select *, row_number() over (partition by vec_id order by mag desc, dim) as r from dims) where r <= 128),
+ feat as (select vec_id, dim || case when x < 0 then 'n' else 'p' end as f, greatest(1, least(4, round_even(round(mag, 9) * 12, 0)))::int as n from top),
+ word as (select f, k, {sql_final(sql_hash('f').replace('list_prepend(0::uhugeint', 'list_prepend(k::uhugeint'))} as h from (select distinct f from feat), (select unnest(range(0, 4)) as k)),
+ bit as (select distinct vec_id, (h % 10240)::int as b from feat join word using (f) where k < n)
+ select vec_id as id, count(*) as n_bits, string_agg(b::varchar, ' ' order by b) as bits from bit group by 1""")
+def rehashed_fingerprints(spark, d):
+    return _shown(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), encode.encode_rehashed(F.col("embedding")).alias("bits")))
+
+
 # ---- evaluation
 QRELS = "plain as (select doc_id, lower(regexp_replace(coalesce(source, ''), '\\s+', '', 'g')) || '/' || lower(trim(coalesce(lang, ''))) as g from documents), qrels as (select q.doc_id as qid, e.doc_id as id from plain q join plain e using (g) where q.doc_id % 20 = 0 and q.doc_id <> e.doc_id)"
 
