@@ -36,9 +36,9 @@ def ordinals(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def _running_counts(docs: DataFrame, id_col: str) -> DataFrame:
-    """(term, at, base): lists of the ordinals of the documents with the term, of one block of documents each, and the term's count before it."""
-    terms = docs.select(id_col, F.array_distinct(tokens(F.col("text"))).alias("terms"))
-    each = terms.join(ordinals(docs.select(id_col), id_col), id_col).select("ordinal", F.explode("terms").alias("term"))
+    """Of documents by `text`, or by their distinct `terms`: (term, at, base), lists of the ordinals of the documents with the term, of one block of documents each, and the term's count before it."""
+    terms = docs if "terms" in docs.columns else docs.select(id_col, F.array_distinct(tokens(F.col("text"))).alias("terms"))
+    each = terms.select(id_col, "terms").join(ordinals(docs.select(id_col), id_col), id_col).select("ordinal", F.explode("terms").alias("term"))
     lists = each.groupBy("term", F.floor(F.col("ordinal") / _BLOCK).alias("block")).agg(F.sort_array(F.collect_list("ordinal")).alias("at"))
     before = Window.partitionBy("term").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     return lists.withColumn("base", F.coalesce(F.sum(F.size("at").cast("long")).over(before), F.lit(0)))
@@ -47,7 +47,8 @@ def _running_counts(docs: DataFrame, id_col: str) -> DataFrame:
 def sequential_idf(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(term, df, last_ordinal, idf, top_idf) as insertion one by one leaves them: idf = ln(ordinal of the last insert with the term / df).
 
-    `top_idf` is the highest value the term's idf ever had, so its maximum is the corpus's running maximum. Ids are unique.
+    `top_idf` is the highest value the term's idf ever had, so its maximum is the corpus's running maximum. Ids are unique. `docs` has
+    a `text`, or in its place the distinct `terms`.
     """
     top = F.array_max(F.transform("at", lambda x, i: F.log(x / (F.col("base") + i + 1))))
     lists = _running_counts(docs, id_col).select("term", F.size("at").cast("long").alias("n"), F.element_at("at", -1).alias("last"), top.alias("top"))

@@ -16,6 +16,7 @@ from palimpsest.config import EngineConfig
 from palimpsest.functions.hashing import band_hashes, hash_feature
 from palimpsest.functions.text import n_pairs, n_words, timestamp_text, tokens
 from palimpsest.operators import chunker, corpus, encode, evaluate, retrieval
+from palimpsest.operators import lsh as band_index
 from palimpsest.session import stage
 from palimpsest.sources.tables import spread, table
 from palimpsest.store import effective, live, search
@@ -299,6 +300,22 @@ def lsh_bands(spark, d):
     return p.select("id", F.posexplode("h").alias("band", "hash"), used.alias("used")).where(F.array_contains("used", F.col("band"))).select("id", "band", "hash")
 
 
+_SIGNED = "case when {h} >= 9223372036854775808 then ({h}::hugeint - 18446744073709551616::hugeint)::bigint else {h}::bigint end"
+
+
+@query(f"with {BANDS} select id, band::int as band, {_SIGNED.format(h='h')} as hash from hashed where h <> void")
+def lsh_index(spark, d):
+    return band_index.index(_prints(spark, d))
+
+
+@query(f"with {BANDS} select q.id as qid, e.id, count(*) as hits from hashed q join hashed e on q.band = e.band and q.h = e.h where q.id % 20 = 0 and q.h <> q.void and e.id % 3 <> 0 group by 1, 2 having count(*) >= 2")
+def lsh_after_removal(spark, d):
+    """Candidates of the stored index after a third of its fingerprints were removed."""
+    p = _prints(spark, d)
+    stored = stage(band_index.index(p), "bands")
+    return band_index.candidates(band_index.removed(stored, p.where("id % 3 = 0").select("id")), p.where("id % 20 = 0").withColumnRenamed("id", "qid"))
+
+
 @query(f"with {BANDS} select q.id as qid, e.id, count(*) as hits from hashed q join hashed e on q.band = e.band and q.h = e.h where q.id % 20 = 0 and q.h <> q.void group by 1, 2 having count(*) >= 2")
 def lsh_candidates(spark, d):
     p = _prints(spark, d)

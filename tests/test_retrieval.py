@@ -1,5 +1,6 @@
 import math
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from palimpsest.config import EngineConfig
 from palimpsest.functions.hashing import hash_features
 from palimpsest.functions.text import tokens
 from palimpsest.operators import blocks, chunker, corpus, encode, evaluate, retrieval
+from palimpsest.operators import lsh as band_index
 from palimpsest.sources import readers
 from palimpsest.store import Engine
 from palimpsest.streaming import ingest
@@ -149,17 +151,56 @@ def test_store(spark, tmp_path):
     ids = {r.text: r.id for r in e.insert(spark.createDataFrame([("alpha beta gamma delta",), ("the red fox jumps",), ("-",), (None,)], text)).collect()}
     assert sorted(ids.values()) == [0, 1]
     q = spark.createDataFrame([(1, "red fox")], "qid long, text string")
-    assert e.search(q, 1).first().id == ids["the red fox jumps"]
+    best = e.search(q, 1).first()
+    assert best.id == ids["the red fox jumps"] and best.text == "the red fox jumps" and best.created > 0
     e.update(spark.createDataFrame([(0, "a red fox and a red fox"), (55, "nobody")], "id long, text string"))
     e.delete(spark.createDataFrame([(1,), (77,)], "id long"))
-    assert [r.id for r in e.search(q, 5).collect()] == [0]
+    assert [(r.id, r.text) for r in e.search(q, 5).collect()] == [(0, "a red fox and a red fox")]
     folder = e.checkpoint()
-    assert {tuple(r) for r in e.open(folder)["postings"].collect()} == {tuple(r) for r in e.tables()["postings"].collect()}
     dense = {r.key: r.id for r in e.insert_dense(spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0, 0.0])], "key long, vector array<float>")).collect()}
-    near = e.search_dense(spark.createDataFrame([(9, [1.0, 0.0, 0.0, 0.0])], "qid long, vector array<float>"), 2)
-    assert near.orderBy("rank").first().id == dense[1]
+    vector = spark.createDataFrame([(9, [1.0, 0.0, 0.0, 0.0])], "qid long, vector array<float>")
+    assert e.search_dense(vector, 2, kind="dense").orderBy("rank").first().id == dense[1]
+    assert {r.id for r in e.search_dense(vector, 9).collect()} == {0, *dense.values()}  # texts' fingerprints are searched, too
     e.delete_dense(spark.createDataFrame([(dense[1],), (0,)], "id long"))
     assert e.vectors().count() == 1 and e.documents().count() == 1 and e.stats().first().documents == 1
+    # what the log changed since the snapshot is made anew, the rest is the snapshot's
+    e.insert(spark.createDataFrame([(2, "one more fox"), (1, "another text")], "n int, text string"), order="n")
+    assert {r.text: r.id for r in e.documents().collect()}["another text"] == 4
+    rows = lambda t, name: sorted(map(str, t[name].select(*sorted(t[name].columns)).collect()))
+    whole, grown, opened = e.tables(), e.index(), e.open(folder)
+    for name in ("docs", "chunks", "postings", "lengths", "stats", "idf"):
+        assert rows(whole, name) == rows(grown, name) == rows(opened, name)
+    assert {r.id for r in grown["prints"].collect()} == {r.id for r in whole["prints"].collect()} and rows(whole, "postings")
+    assert e.checkpoint() != folder and e._snapshots()[0] == e._next()[0] - 1
+    assert rows(Engine(spark, e.path).index(), "bands") == rows(grown, "bands")
+
+
+def test_store_errors_and_two_writers(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"))
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "log").write_text("no parquet")
+    with pytest.raises(Exception):  # and not ids from 0 again
+        e.insert(spark.createDataFrame([("x y",)], "text string"))
+    assert not e._exists("writer.lock")
+    e = Engine(spark, str(tmp_path / "t"), lock_seconds=30)
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda i: Engine(spark, e.path, lock_seconds=60).insert(spark.createDataFrame([(f"text {i} {j}",) for j in range(3)], "text string")), range(3)))
+    log = e._log().collect()
+    assert sorted(r.id for r in log) == list(range(9)) == sorted(r.seq - 1 for r in log)
+    with e._writing(), pytest.raises(TimeoutError):
+        Engine(spark, e.path, lock_seconds=0.2).delete(spark.createDataFrame([(1,)], "id long"))
+
+
+def test_band_index(spark):
+    prints = spark.createDataFrame([(1, [5, 700, 9000]), (2, [5, 700, 44]), (3, []), (4, None), (5, [5, 9000])], "id long, bits array<int>")
+    stored = band_index.inserted(band_index.empty(spark), prints)
+    assert stored.count() == 3 + 2 + 2 and {r.id for r in stored.collect()} == {1, 2, 5}
+    q = prints.where("id = 1").withColumnRenamed("id", "qid")
+    assert {(r.id, r.hits) for r in band_index.candidates(stored, q).collect()} == {(1, 3), (5, 2)}
+    less = band_index.removed(stored, spark.createDataFrame([(5,), (88,)], "id long"))
+    assert {r.id for r in band_index.candidates(less, q, 1).collect()} == {1, 2}
+    again = band_index.inserted(stored, spark.createDataFrame([(2, [5, 700, 9000])], "id long, bits array<int>"))
+    assert {r.id for r in band_index.candidates(again, q, 3).collect()} == {1, 2}
 
 
 def test_stream(spark, tmp_path):
