@@ -21,6 +21,7 @@ from palimpsest.llm.tokens import TOKENIZER, plain_source, token_sizes
 from palimpsest.session import stage
 
 SHARD_ITEMS = 20_000
+_MOST_KINDS = 1_000
 _PLACES = "container string, capacity long, shard int, bin int, place int, doc_id long, piece int, begins long, tokens long"
 
 
@@ -102,7 +103,9 @@ def places(documents: DataFrame, containers: DataFrame, apart: Sequence[tuple[st
     items = stage(sized.where("tokens > 0").join(duplicate_clusters(documents), "doc_id"), "items")
     shards = max(1, -(-items.count() // shard_items))
     kinds = containers.select("container", F.col("capacity_tokens").cast("long").alias("capacity")).where("capacity > 0").distinct()
-    kinds = [tuple(r) for r in kinds.collect()]  # a few kinds of container
+    kinds = [tuple(r) for r in kinds.take(_MOST_KINDS + 1)]
+    if len(kinds) > _MOST_KINDS:
+        raise ValueError(f"more than {_MOST_KINDS} kinds of container: every document gets a place in each")
     each = items.select("*", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.array(*[F.struct(F.lit(c).alias("container"), F.lit(n).cast("long").alias("capacity")) for c, n in kinds])).alias("k")) if kinds else None
     if each is None:
         return documents.sparkSession.createDataFrame([], "container string, capacity long, bin_id long, place int, doc_id long, piece int, begins long, tokens long")

@@ -65,6 +65,12 @@ def p7_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.places(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
 
 
+def p7_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`p7_places` with sources that must not share a container: the ranker's issues with any chat, drafts with papers."""
+    apart = [("issues/ranker", "chat/lsh"), ("issues/ranker", "chat/store"), ("howto/drafts", "notes/papers"), ("issues/drafts", "notes/papers")]
+    return packing.places(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"), apart)
+
+
 def p7_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p7_places(spark, sf_dir))
 
@@ -99,7 +105,7 @@ QUERIES = {
     "p3_found": p3_found, "p3_groups": p3_groups,
     "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_covers": p5_covers,
     "p6_found": p6_found, "p6_ranking": p6_ranking,
-    "p7_places": p7_places, "p7_unused": p7_unused,
+    "p7_places": p7_places, "p7_apart": p7_apart, "p7_unused": p7_unused,
     "p8_copies": p8_copies, "p8_slots": p8_slots, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_clean": p9_clean,
 }

@@ -297,6 +297,27 @@ def test_places(spark):
     assert packing.places(df, kinds.where("false")).count() == 0 and packing.places(df.where("false"), kinds).count() == 0
 
 
+def test_sources_apart(spark):
+    rnd = random.Random(8)
+    docs = [(i, " ".join(f"w{rnd.randrange(500)}" for _ in range(rnd.randrange(1, 40))), ("A / b", "c", "d", None)[i % 4]) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    kinds = spark.createDataFrame([("s", 256)], "container string, capacity_tokens int")
+    source = {i: s for i, _, s in docs}
+    for apart, free in (((), True), ((("a/b", "C"), ("d", "unknown")), False)):
+        bins = {}
+        for r in packing.places(df, kinds, apart).collect():
+            bins.setdefault(r.bin_id, set()).add(source[r.doc_id])
+        assert any({"A / b", "c"} <= s for s in bins.values()) == free and any({"A / b", "d"} <= s for s in bins.values())
+    with pytest.raises(ValueError):
+        packing.places(df, spark.createDataFrame([(f"k{i}", 9) for i in range(1001)], "container string, capacity_tokens int"))
+
+
+def test_large_cluster_is_placed_in_time():
+    n = 7000
+    bins = packing.best_fit([9] * n + [3] * 200, 4096, [0] * (n + 200), [0] * n + [-1] * 200, {})
+    assert len(set(bins[:n])) == n
+
+
 def test_permutation_and_counts():
     for n in (1, 2, 7, 1000):
         assert sorted(mixing.permuted(np.arange(n), n, (1, 2))) == list(range(n))
