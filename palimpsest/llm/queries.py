@@ -58,7 +58,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rankfuse.ranking(table(spark, sf_dir, "lane_hits"))
+    return rankfuse.ranking(table(spark, sf_dir, "lane_hits")).withColumn("fused", F.round("fused", 6))
 
 
 def p7_places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +132,46 @@ em as (
 fit as (select term, arg_max(s, round) as s, arg_max(h, round) as h, arg_max(lo, round) as lo from em group by 1),
 model as (select term, df, mass as corpus_freq, s, h, lo from begun join fit using (term))"""
 
+# every pair of records that share a run of three words; classes of equal sets, and their links
+_RUNS = r"""
+with recursive t as (select distinct seq, memory_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') as w from wal where seq is not null and text is not null),
+sets as (select seq, memory_id, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) as s from t where len(w) >= 3),
+big as (select seq, memory_id, s, len(s) as n, md5(array_to_string(s, '|')) as h from sets where len(s) >= 15),
+cls as (select h, min(seq) as rep, any_value(s) as s, any_value(n) as n, count(*) as copies, count(distinct memory_id) + max((memory_id is null)::int) as owners, min(memory_id) as owner from big group by 1),
+run as (select h, n, owners, owner, unnest(s) as r from cls),
+met as (select a.h as ha, b.h as hb, any_value(a.n) as na, any_value(b.n) as nb, count(*) as shared from run a join run b on a.r = b.r and a.h < b.h group by 1, 2),
+near as (select ha, hb from met where shared * 5 >= 3 * (na + nb - shared)),
+same as (select h as ha, h as hb from cls where copies > 1 union all select ha, hb from near)"""
+
+# ranks in shares, correlations over the queries that have both lists, and the first component by powers of the matrix
+_COMPONENT = r"""
+with recursive best as (select qid, lane, mu, memory_id, max(score) as s from lane_hits where qid is not null and memory_id is not null and score is not null and not isnan(score) and score <> -1e9 group by all),
+kinds as (select lane, mu, row_number() over (order by lane, mu nulls first) as k from (select distinct lane, mu from best)),
+ranked as (select qid, k, memory_id, (rank() over (partition by qid, k order by s) + (count(*) over (partition by qid, k, s) - 1) / 2.0) / count(*) over (partition by qid, k) as share from best join kinds on kinds.lane is not distinct from best.lane and kinds.mu is not distinct from best.mu),
+members as (select qid, count(distinct memory_id)::double as n from ranked group by 1),
+lists as (select qid, k, sum(share) as s, sum(share * share) as ss from ranked group by 1, 2),
+sums as (select a.k as a, b.k as b, sum(n) as n, sum(a.s) as sa, sum(b.s) as sb, sum(a.ss) as saa, sum(b.ss) as sbb from lists a join lists b using (qid) join members using (qid) group by 1, 2),
+products as (select a.k as a, b.k as b, sum(a.share * b.share) as sab from ranked a join ranked b using (qid, memory_id) group by 1, 2),
+moments as (select a, b, saa / n - (sa / n) ** 2 as va, sbb / n - (sb / n) ** 2 as vb, coalesce(sab, 0) / n - sa * sb / n ** 2 as cab from sums left join products using (a, b)),
+known as (select a, b, cab / sqrt(va * vb) as c from moments where va > 1e-12 and vb > 1e-12),
+cells as (select x.k as a, y.k as b, case when x.k = y.k then 1.0 else coalesce(c, (select avg(c) from known where a <> b), 0) end::double as c from kinds x cross join kinds y left join known on known.a = x.k and known.b = y.k),
+matrix as (select list(row order by a) as m from (select a, list(c order by b) as row from cells group by 1)),
+power as (
+ select m, list_transform(m, lambda r: 1.0::double + list_sum(r) / 1e3) as v, 0 as i from matrix
+ union all
+ select m, list_transform(u, lambda x: x / sqrt(list_sum(list_transform(u, lambda y: y * y)))) as v, i + 1 from (select m, i, list_transform(m, lambda r: list_sum(list_transform(range(1, len(v) + 1), lambda j: r[j] * v[j]))) as u from power where i < 600)),
+vec as (select case when list_sum(v) < 0 then list_transform(v, lambda x: -x) else v end as v from power where i = 600),
+weights as (select k, v[k] / case when va > 1e-12 then sqrt(va) else 1 end as w from kinds, vec, moments where a = k and b = k),
+fused as (select qid, memory_id, round(sum(share * w), 9) as f from ranked join weights using (k) group by 1, 2)"""
+
 ORACLE = {
+    "p3_found": _RUNS + " select distinct least(a.seq, b.seq) as seq_a, greatest(a.seq, b.seq) as seq_b from same join big a on a.h = ha join big b on b.h = hb where a.seq <> b.seq and a.memory_id is distinct from b.memory_id",
+    "p3_groups": _RUNS + """, apart as (select a.rep as a, b.rep as b from near join cls a on a.h = ha join cls b on b.h = hb where not (a.owners = 1 and b.owners = 1 and a.owner is not distinct from b.owner)),
+ ways as (select a, b from apart union all select b, a from apart),
+ reach as (select rep as a, rep as b from cls union select reach.a, ways.b from reach join ways on ways.a = reach.b),
+ grp as (select a as rep, min(b) as group_id from reach group by 1), deg as (select a as rep, count(*) as links from ways group by 1)
+ select distinct seq, rep as class_id, group_id, coalesce(links, 0) as links from big join cls using (h) join grp using (rep) left join deg using (rep)""",
+    "p6_ranking": _COMPONENT + " select qid, memory_id, round(f, 6) as fused, row_number() over (partition by qid order by f desc, memory_id)::int as place from fused",
     "p1_mixtures": _EM + " select term, df, corpus_freq, round(s, 6) as elite_share, round(h, 4) as elite_rate, round(lo, 6) as other_rate from model",
     "p1_top_terms": _EM + """, scored as (select chunk_id, term, tf::bigint as tf, df, corpus_freq, ln(s / (1 - s)) + tf * ln(h / lo) - (h - lo) as log_odds from tf join model using (term)),
  placed as (select *, row_number() over (partition by chunk_id order by round(log_odds, 9) desc, term)::int as place from scored)
