@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.tokens import TOKENIZER, plain_source, token_sizes
+from palimpsest.llm.tokens import plain_source, token_sizes
 from palimpsest.session import stage
 
 BLOCK, SHARD_SLOTS, BUCKET_DOCS, SEED = 128, 1024, 50_000, 11
@@ -161,7 +161,7 @@ class Mixture:
     sized: DataFrame
 
 
-def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED, tokenizer: str = TOKENIZER) -> Mixture:
+def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED, tokenizer: str | None = None) -> Mixture:
     """Draw the mixture. `targets` (source, target_share, max_repeats) is a short list and is read by the driver.
 
     Sources are compared without letter case and blanks; documents of unwanted or null sources, and without

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import nearcopies
-from palimpsest.llm.tokens import TOKENIZER, plain_source, token_sizes
+from palimpsest.llm.tokens import plain_source, token_sizes
 from palimpsest.session import stage
 
 SHARD_ITEMS = 20_000
@@ -92,7 +92,7 @@ def duplicate_clusters(documents: DataFrame) -> DataFrame:
     return same.join(near.groupBy(F.col("id").alias("doc_id")).agg(F.min("group_id").alias("group_id")), "doc_id", "left").select("doc_id", F.coalesce("group_id", "own").alias("cluster"))
 
 
-def places(documents: DataFrame, containers: DataFrame, apart: Sequence[tuple[str, str]] = (), tokenizer: str = TOKENIZER, shard_items: int = SHARD_ITEMS) -> DataFrame:
+def places(documents: DataFrame, containers: DataFrame, apart: Sequence[tuple[str, str]] = (), tokenizer: str | None = None, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """Where every document goes in each kind of container: (container, capacity, bin_id, place, doc_id, piece, begins, tokens).
 
     Only documents longer than a capacity are divided, into full pieces and a rest; `begins` is the

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+SETTING = "spark.palimpsest.tokenizer"  # the session's setting that names the vocabulary file on every machine
+INSTALLED = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # where it is without the setting
 _PIECE = 100_000
 
 
@@ -53,8 +54,9 @@ def plain_source(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"\s+", ""))
 
 
-def token_sizes(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def token_sizes(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, source, tokens), one row per doc_id with text; `source` plain, possibly null. Null and empty texts have no row."""
+    tokenizer = tokenizer or documents.sparkSession.conf.get(SETTING, INSTALLED)
     d = documents.select("doc_id", plain_source(F.col("source")).alias("source"), "text").where("doc_id is not null and text <> ''")
     sized = d.mapInArrow(_counter(tokenizer), "doc_id long, source string, tokens long")
     return sized.groupBy("doc_id").agg(F.min("source").alias("source"), F.max("tokens").alias("tokens"))
