@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.session import stage
+from palimpsest.session import stage, together
 
 STORED, ASKED, LEAST = 4096, 1024, 256  # rows and queries of a block; no block of rows is made smaller than LEAST to keep cores busy
 _SPARE = 16  # rows per query and block beyond k, since ranks go by scores rounded elsewhere
@@ -131,7 +131,7 @@ def in_blocks(queries: DataFrame, stored: DataFrame, reduce: Callable[[pa.Table,
     those of the same name must be of one type. Rows without an id are left out. Nothing is made of an empty side.
     """
     spark = queries.sparkSession
-    queries, stored = stage(queries.where("qid is not null"), "asked"), stage(stored.where("id is not null"), "stored")
+    queries, stored = together(lambda: stage(queries.where("qid is not null"), "asked"), lambda: stage(stored.where("id is not null"), "stored"))
     n, m, cores = stored.count(), queries.count(), spark.sparkContext.defaultParallelism
     of = max(-(-n // STORED), min(cores, -(-n // LEAST)), 1)
     to = max(-(-m // ASKED), 1)

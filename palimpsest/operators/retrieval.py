@@ -224,6 +224,9 @@ def rerank(queries: DataFrame, candidates: DataFrame, docs: DataFrame, idf: Data
     q = q.join(weights, "qid", "left")
     d = docs.select("id", ascii_lower(F.coalesce("text", F.lit(""))).alias("low"), F.array_distinct(tokens(F.col("text"))).alias("dt"))
     head = ranked.where(F.col("before") <= cfg.rerank_depth).join(q, "qid").join(d, "id", "left").join(lens, "id", "left")
+    # few rows, of which each takes long: they are spread over all cores, however few bytes they have
+    cores = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    head = head.repartition(max(cores, queries.sparkSession.sparkContext.defaultParallelism), "qid", "id")
     hit = F.filter("qw", lambda x: F.array_contains("dt", x.term))
     add = lambda a: F.aggregate(F.transform(a, lambda x: x.w), F.lit(0.0), lambda s, x: s + x)
     n = F.size("qt")

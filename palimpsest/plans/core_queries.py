@@ -17,7 +17,7 @@ from palimpsest.functions.hashing import band_hashes, hash_feature
 from palimpsest.functions.text import n_pairs, n_words, timestamp_text, tokens
 from palimpsest.operators import chunker, corpus, encode, evaluate, retrieval
 from palimpsest.operators import lsh as band_index
-from palimpsest.session import stage
+from palimpsest.session import stage, together
 from palimpsest.sources.tables import spread, table
 from palimpsest.store import effective, live, search
 
@@ -469,12 +469,16 @@ HYBRID = f"""{CHUNKS}, per as (select parent_id, count(*) as n from chunks group
 def _index(spark, d) -> tuple[DataFrame, dict[str, DataFrame]]:
     """The documents, chunked, encoded and indexed."""
     docs = _docs(spark, d)
-    parts = stage(chunker.with_ids(chunker.chunks_of(docs)).select("parent_id", "chunk_id", "pos", "text"), "chunks")
+    chunks = chunker.with_ids(chunker.chunks_of(docs)).select("parent_id", "chunk_id", "pos", "text")
+    parts, (idf, top) = together(lambda: stage(chunks, "chunks"), lambda: _idf(docs))
     keyed = parts.select(F.col("chunk_id").alias("doc_id"), "text")
-    post = stage(corpus.postings(keyed), "postings")
-    idf, top = _idf(docs)
-    prints = stage(encode.encode_texts(keyed, "doc_id", idf, top).withColumn("kind", F.lit("text")), "prints")
-    return docs, {"docs": docs, "chunks": parts, "postings": post, "lengths": post.groupBy("id").agg(F.sum("tf").alias("len")), "stats": stage(corpus.term_stats(post), "stats"), "idf": idf, "prints": prints}
+
+    def counts() -> tuple[DataFrame, DataFrame]:
+        post = stage(corpus.postings(keyed), "postings")
+        return post, stage(corpus.term_stats(post), "stats")
+
+    (post, stats), prints = together(counts, lambda: stage(encode.encode_texts(keyed, "doc_id", idf, top).withColumn("kind", F.lit("text")), "prints"))
+    return docs, {"docs": docs, "chunks": parts, "postings": post, "lengths": post.groupBy("id").agg(F.sum("tf").alias("len")), "stats": stats, "idf": idf, "prints": prints}
 
 
 def _searched(spark, d, cfg: EngineConfig) -> DataFrame:
@@ -715,6 +719,22 @@ def category_hits(spark, d):
     return at.groupBy("category").agg(F.count("*").alias("questions"), rate(1), rate(5), rate(10))
 
 
+HITS = f"""{LEX}, plain as (select doc_id, lower(trim(coalesce(lang, ''))) as category, lower(regexp_replace(coalesce(source, ''), '\\s+', '', 'g')) as src from documents),
+ r as (select qid, id, row_number() over (partition by qid order by round(score, 9) desc, id) as rank from lex where qid <> id), k as (select a.category, qid, min(case when b.src = a.src then rank end) as spot from r join plain a on a.doc_id = qid join plain b on b.doc_id = r.id where rank <= 10 group by 1, 2)"""
+
+
+@query(f"with {HITS} select category, count(*) as questions, round(avg(coalesce(spot <= 1, false)::int), 9) as hit_1, round(avg(coalesce(spot <= 5, false)::int), 9) as hit_5, round(avg(coalesce(spot <= 10, false)::int), 9) as hit_10 from k group by 1")
+def hits_by_language(spark, d):
+    """Per language of the asked document, how often one of its source is found among the first 1, 5 and 10."""
+    docs = _docs(spark, d)
+    plain = table(spark, d, "documents").select("doc_id", F.lower(F.trim(F.coalesce("lang", F.lit("")))).alias("category"), F.lower(F.regexp_replace(F.coalesce("source", F.lit("")), r"\s+", "")).alias("src"))
+    found = retrieval.top_k(retrieval.lexical(_asked(docs), *_lexicon(docs), 11).where("qid <> id").drop("rank"), 10)
+    both = found.join(plain.select(F.col("doc_id").alias("qid"), "category", F.col("src").alias("own")), "qid").join(plain.select(F.col("doc_id").alias("id"), "src"), "id")
+    at = both.groupBy("qid", "category").agg(F.min(F.when(F.col("src") == F.col("own"), F.col("rank"))).alias("at"))
+    rate = lambda n: F.round(F.avg(F.coalesce(F.col("at") <= n, F.lit(False)).cast("int")), 9).alias(f"hit_{n}")
+    return at.groupBy("category").agg(F.count("*").alias("questions"), rate(1), rate(5), rate(10))
+
+
 def _lanes_of(spark, d, name, k):
     hits = table(spark, d, "lane_hits").where("score is not null and not isnan(score) and score <> -1e9").where(F.col("lane") == name)
     return retrieval.top_k(hits.groupBy("qid", F.col("memory_id").alias("id")).agg(F.max("score").alias("score")), k)

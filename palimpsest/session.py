@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, tuple[SparkSession, str]] = {}
+_CHOOSING = threading.Lock()
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -35,7 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
     error, since a machine-local folder is lost with its machine.
     """
     app = spark.sparkContext.applicationId
-    if app not in _ROOTS:
+    with _CHOOSING:
+        if app in _ROOTS:
+            return _ROOTS[app][1]
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
             if not spark.sparkContext.master.startswith("local"):
@@ -43,7 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
             base = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
             spark.sparkContext.setCheckpointDir(base)
         _ROOTS[app] = (spark, f"{base.rstrip('/')}/palimpsest-{uuid.uuid4().hex[:12]}")
-    return _ROOTS[app][1]
+        return _ROOTS[app][1]
 
 
 def stage(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
@@ -57,6 +64,12 @@ def stage(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def together(*makers: Callable[[], Any]) -> list[Any]:
+    """What the calls give, made at the same time: jobs that don't need each other's results share the cores."""
+    with ThreadPoolExecutor(max(1, len(makers))) as pool:
+        return [f.result() for f in [pool.submit(m) for m in makers]]
+
+
 def release(spark: SparkSession) -> None:
     """Remove what `stage` wrote in this session; its DataFrames are unusable afterwards."""
     _, root = _ROOTS.pop(spark.sparkContext.applicationId, (None, None))

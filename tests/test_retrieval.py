@@ -10,6 +10,7 @@ from palimpsest.functions.hashing import hash_features
 from palimpsest.functions.text import tokens
 from palimpsest.operators import blocks, chunker, corpus, encode, evaluate, retrieval
 from palimpsest.operators import lsh as band_index
+from palimpsest.plans import harness
 from palimpsest.sources import readers
 from palimpsest.store import Engine
 from palimpsest.streaming import ingest
@@ -191,6 +192,18 @@ def test_store_errors_and_two_writers(spark, tmp_path):
         Engine(spark, e.path, lock_seconds=0.2).delete(spark.createDataFrame([(1,)], "id long"))
 
 
+def test_whole_runs(spark, tmp_path):
+    corpus = spark.createDataFrame([("d1", "cold shards are merged at night"), ("d2", "warm lanes are read twice"), ("d3", "the night lane merges shards")], "doc_key string, text string")
+    asked = spark.createDataFrame([("q1", "night shards"), ("q2", "lanes read"), ("q3", None)], "query_key string, text string")
+    rel = spark.createDataFrame([("q1", "d1"), ("q1", "d3"), ("q2", "d2"), ("q2", "gone")], "query_key string, doc_key string")
+    found, m = harness.judged_run(Engine(spark, str(tmp_path / "a")), corpus, asked, rel, 3)
+    assert found.where("rank = 1 and query_key = 'q2'").first().doc_key == "d2"
+    m = m.first()
+    assert m.queries == 2 and m.recall == 1.0 and m.mrr == 1.0
+    r = harness.rates(Engine(spark, str(tmp_path / "b")), corpus, 1, 1, spark.createDataFrame([(1, "night")], "qid long, text string"))
+    assert r.keys() == {"insert", "delete", "update", "search"} and min(r.values()) > 0
+
+
 def test_band_index(spark):
     prints = spark.createDataFrame([(1, [5, 700, 9000]), (2, [5, 700, 44]), (3, []), (4, None), (5, [5, 9000])], "id long, bits array<int>")
     stored = band_index.inserted(band_index.empty(spark), prints)
