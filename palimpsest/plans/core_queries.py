@@ -6,6 +6,7 @@ Searches take every row whose id is divisible by 20 as a query, against all rows
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -17,9 +18,10 @@ from palimpsest.functions.hashing import band_hashes, hash_feature
 from palimpsest.functions.text import n_pairs, n_words, timestamp_text, tokens
 from palimpsest.operators import chunker, corpus, encode, evaluate, retrieval
 from palimpsest.operators import lsh as band_index
-from palimpsest.session import stage, together
+from palimpsest.session import shared_dir, stage, together
 from palimpsest.sources.tables import spread, table
 from palimpsest.store import effective, live, search
+from palimpsest.streaming import ingest
 
 CFG = EngineConfig()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -771,6 +773,16 @@ def live_postings(spark, d):
     return corpus.postings(live(table(spark, d, "wal")).select("memory_id", "text"), "memory_id").withColumnRenamed("id", "memory_id")
 
 
+@query(ORACLE["live_postings"])
+def streamed_postings(spark, d):
+    """`live_postings`, from an index that Structured Streaming keeps in step with the log."""
+    wal = table(spark, d, "wal")
+    here = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:8]}"
+    # a pattern, since a stream may follow many files but not a single one by name
+    ingest.follow(spark, f"{d}/wal.parque[t]", wal.schema, f"{here}/index", f"{here}/progress").awaitTermination()
+    return ingest.current_postings(spark.read.parquet(f"{here}/index"))
+
+
 @query("select chunk_id, coalesce(any_value(parent_memory_id), chunk_id) as parent_memory_id, min(pos) as pos from (select distinct entry_id, parent_memory_id, chunk_id, pos from chunks qualify row_number() over (partition by chunk_id order by entry_id desc, pos, parent_memory_id) = 1) group by 1")
 def chunk_map(spark, d):
     """The newest entry of every chunk id, as a replay of the map leaves it."""

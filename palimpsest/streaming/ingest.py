@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators import corpus
@@ -26,9 +26,16 @@ def follow(spark: SparkSession, source: str, schema: str, index: str, checkpoint
 
 
 def current_postings(index: DataFrame, memory: str = "memory_id") -> DataFrame:
-    """(memory_id, term, tf) of each memory's last record, without deleted memories."""
-    last = index.withColumn("_top", F.max("seq").over(Window.partitionBy(memory)))
-    return last.where("seq = _top and op <> 'delete' and term is not null").select(memory, "term", "tf")
+    """(memory_id, term, tf) of each memory's last record if the memory is alive, that is, inserted after its last delete.
+
+    Records that came again in a later batch count once. What a memory's records come to is one row, so a memory with
+    very many of them is no window.
+    """
+    at = lambda op: F.max(F.when(F.col("op") == op, F.col("seq")))
+    last = index.groupBy(F.col(memory).alias("_m")).agg(F.max("seq").alias("_top"), at("insert").alias("_in"), at("delete").alias("_out"))
+    last = last.where(F.col("_in") > F.coalesce("_out", F.lit(-1)))
+    rows = index.where("op <> 'delete' and term is not null").join(last, (F.col(memory) == F.col("_m")) & (F.col("seq") == F.col("_top")))
+    return rows.select(memory, "seq", "term", "tf").dropDuplicates([memory, "seq", "term"]).drop("seq")
 
 
 __all__ = ["postings_delta", "follow", "current_postings"]

@@ -5,6 +5,7 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 import pytest
 
+from palimpsest import cli
 from palimpsest.config import EngineConfig
 from palimpsest.functions.hashing import hash_features
 from palimpsest.functions.text import tokens
@@ -227,6 +228,25 @@ def test_stream(spark, tmp_path):
         q.awaitTermination()
     got = {tuple(r) for r in ingest.current_postings(spark.read.parquet(str(tmp_path / "index"))).collect()}
     assert got == {(1, "four", 1)}
+    # a record that comes again, and an update of a deleted memory
+    spark.createDataFrame([rows[3], (5, "update", 2, "late")], schema).write.parquet(str(tmp_path / "log" / "c"))
+    ingest.follow(spark, str(tmp_path / "log" / "*"), schema, str(tmp_path / "index"), str(tmp_path / "ck")).awaitTermination()
+    assert [tuple(r) for r in ingest.current_postings(spark.read.parquet(str(tmp_path / "index"))).collect()] == [(1, "four", 1)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    def run(*args):
+        assert cli.main(["--store", str(tmp_path / "cli"), *args]) == 0
+        return capsys.readouterr().out
+
+    assert [run("insert", t).strip() for t in ("a red fox", "a blue whale")] == ["0", "1"]
+    assert "red fox" in run("search", "fox", "1")
+    run("update", "0", "a green frog")
+    run("delete", "1")
+    assert "frog" in run("search", "frog") and "|1        |" in run("stats")
+    for bad in (["insert", ""], ["update", "0", "-"]):
+        with pytest.raises(SystemExit):
+            run(*bad)
 
 
 def test_readers(spark, tmp_path):
