@@ -16,6 +16,7 @@ from palimpsest.functions.hashing import band_hashes, mixed
 from palimpsest.functions.text import ascii_lower, tokens
 from palimpsest.operators import blocks
 from palimpsest.operators.blocks import top_k
+from palimpsest.session import stage
 
 
 def _likelihood(mu: float):
@@ -217,7 +218,7 @@ def to_parents(fused: DataFrame, chunk_parents: DataFrame) -> DataFrame:
 
 def rerank(queries: DataFrame, candidates: DataFrame, docs: DataFrame, idf: DataFrame, lens: DataFrame, avg_len: float, k: int, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """(qid, id, score, rank): the first `rerank_depth` candidates get boosts for coverage, phrases and length and stay ahead of the rest."""
-    ranked = top_k(candidates, k, name="before")
+    ranked = stage(top_k(candidates, k, name="before"), "ranked")  # k rows a query, read as head and as tail
     q = queries.select("qid", tokens(F.col("text")).alias("qt"))
     weights = q.select("qid", F.posexplode("qt").alias("pos", "term")).join(idf.select("term", "idf"), "term", "left")
     weights = weights.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("pos", "term", F.coalesce("idf", F.lit(0.0)).alias("w")))).alias("qw"))
