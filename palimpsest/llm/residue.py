@@ -63,7 +63,7 @@ NAVIGATION = re.compile(
 )
 # fixed values: general words of explaining, quoting and reporting
 EXPLAINS = re.compile(
-    r"\b(?:examples?|snippets?|syntax|such as|like|called|written|escaped|stripped|expanded|replaced|removed|deprecated|braces|strings?|guides?|manuals?|docs|says?|said|reported|counted|logged|rose|fell|bugs?|issues?|typo|sagt|meldung|selon|según|dice|beispiel|exemple|ejemplo)\b"
+    r"\b(?:examples?|snippets?|syntax|such as|like|called|written|escaped|stripped|expanded|replaced|removed|deprecated|braces|strings?|guides?|manuals?|docs|reported|counted|logged|rose|fell|bugs?|issues?|typo|says?|said|sagte?|laut|dit|selon|dice|dijo|según|beispiel|exemple|ejemplo)\b"
 )
 _TITLE = re.compile(r"(?is)<title>.*?</title>")
 _TAG = re.compile(r"(?i)</?(?:div|p|h[1-6]|body|html|span|br|a|ul|li|main|nav|header|footer)(?: [^<>]*)?/?>")
@@ -236,7 +236,7 @@ def verdicts(p: np.ndarray, words: np.ndarray, shown: np.ndarray, sizes: np.ndar
     return ["residue" if r else "error" if e and not c else "" for r, e, c in zip(residue, error, content)]
 
 
-def fit(f: Features, y: np.ndarray, weight: np.ndarray, common: frozenset[str], l2: float = 1e-6, epochs: int = 8, batch: int = 1024, rate: float = 2.0, seed: int = 3) -> Model:
+def fit(f: Features, y: np.ndarray, weight: np.ndarray, common: frozenset[str], l2: float = 1e-6, epochs: int = 14, batch: int = 1024, rate: float = 2.0, seed: int = 3) -> Model:
     """Softmax regression with an L2 penalty, by AdaGrad over shuffled batches. Units of `f` are in order."""
     n = len(y)
     used, code = np.unique(f.code, return_inverse=True)
@@ -244,7 +244,8 @@ def fit(f: Features, y: np.ndarray, weight: np.ndarray, common: frozenset[str],
     begin = np.searchsorted(f.unit, np.arange(n + 1))
     rng, scale = np.random.default_rng(seed), (1 / np.maximum(f.norm, 1)).astype(np.float32)[:, None]
     target, weight = np.eye(4, dtype=np.float32)[y], (weight / (weight.mean() if n else 1)).astype(np.float32)[:, None]
-    for _ in range(epochs):
+    mean, late = np.zeros_like(w), max(1, epochs // 4)  # the model is the mean of the last epochs' ends
+    for epoch in range(epochs):
         order = rng.permutation(n)
         for lo in range(0, n, batch):
             b = order[lo : lo + batch]
@@ -261,8 +262,10 @@ def fit(f: Features, y: np.ndarray, weight: np.ndarray, common: frozenset[str],
             bias = g.sum(0)
             seen[-1] += (bias**2).max()
             w[-1] -= 0.1 * rate * bias / np.sqrt(seen[-1])
+        if epoch >= epochs - late:
+            mean += w / late
     full = np.zeros((DIMS + 1, 4), np.float32)
-    full[used], full[DIMS] = w[:-1], w[-1]
+    full[used], full[DIMS] = mean[:-1], mean[-1]
     return Model(full, common)
 
 
@@ -295,10 +298,13 @@ def relabelled(y: np.ndarray, beside: np.ndarray, p: np.ndarray, words: np.ndarr
     """Labels for the next round: units without a phrase of their own are judged by the model, and a message beside content is content that talks of it."""
     n = int(doc.max()) + 1 if len(doc) else 0
     kind = p.argmax(1)
-    out = np.where((y == UNKNOWN) | (beside & (p.max(1) > SURE)), kind, y)
+    # a few words of a text without any phrase say too little to go against it
+    plain = beside & (y == CONTENT)
+    open_ = beside & ~(plain & (words <= 3))
+    out = np.where((y == UNKNOWN) | (open_ & (p.max(1) > SURE)), kind, y)
     content = (np.bincount(doc[beside & (p[:, CONTENT] > 0.95) & (words > 3)], minlength=n) > 0)[doc]
     out = np.where((out == ERROR) & content, CONTENT, out)
-    out = np.where(beside & (y == CONTENT) & (out == CONTENT) & (p[:, CONTENT] < SURE), UNKNOWN, out)  # nobody knows
+    out = np.where(plain & open_ & (out == CONTENT) & (p[:, CONTENT] < SURE), UNKNOWN, out)  # nobody knows
     return np.where((y == ERROR) & ~beside & (p[:, CONTENT] > 0.5), CONTENT, out).astype(np.int8)
 
 
