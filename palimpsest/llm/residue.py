@@ -31,9 +31,9 @@ SAMPLE_TEXT = 100_000
 COMMON_SHARE = 0.004  # a word is common if it is in this share of the documents; so there are few common words
 RESIDUE_FROM, ERROR_FROM, CONTENT_FROM = 0.5, 0.6, 0.9  # least probabilities of a unit that makes its document a case
 HELD_OUT = 5  # one source in so many validates
-ROUNDS = 2
+ROUNDS = 3
 SURE = 0.7  # probability from which the classifier's word goes before a weak label
-BESIDE = 0.3  # weight of a label that a unit has from its neighbours
+BESIDE = 0.6  # weight of a label that a unit has from its neighbours
 SHORT_PAGE = 8  # an error message of more units is taken for a part of something else at first
 _BATCH_CHARS = 4_000_000
 _KEPT_WORDS = 200_000

@@ -383,7 +383,7 @@ def _planted(rnd, known):
     """Error pages of an invented house style; only with `known` one of the label phrases is on them."""
     own = [f"Your {rnd.choice(['badge', 'key', 'pass'])} opens no {rnd.choice(['vault', 'drawer', 'shelf'])} today.", f"Ask the {rnd.choice(['warden', 'porter', 'keeper'])} to let you in.", "Ring the bell twice."]
     rnd.shuffle(own)
-    return "\n".join([*(["Access denied"] if known else []), *own[:2]])
+    return "\n".join([*(["Access denied"] if known else []), *own[: 2 if known else 3]])
 
 
 def test_classifier_finds_what_the_labels_miss():
