@@ -135,7 +135,19 @@ class Reader:
 
     def read(self, docs: list[list[str]]) -> Features:
         """Features of the units of `docs`, in order."""
-        return self.features([u for found in docs for u in found], *(np.array([x for found in docs for x in y(found)], np.int64) for y in (lambda d: [len(d)] * len(d), lambda d: range(len(d)))))
+        parts, lo = [], 0
+        while lo < len(docs) or not parts:
+            hi, n = lo, 0
+            while hi < len(docs) and (hi == lo or n + len(docs[hi]) <= _BLOCK_UNITS):
+                n += len(docs[hi])
+                hi += 1
+            some = docs[lo:hi]
+            of, place = (np.array([x for found in some for x in y(found)], np.int64) for y in (lambda d: [len(d)] * len(d), lambda d: range(len(d))))
+            parts.append(self.features([u for found in some for u in found], of, place))
+            lo = max(hi, lo + 1)
+        begins = np.cumsum([0, *[len(f.norm) for f in parts]])[:-1].astype(np.int32)
+        join = lambda get: np.concatenate([get(f) for f in parts])
+        return Features(np.concatenate([f.unit + b for f, b in zip(parts, begins)]), join(lambda f: f.code), join(lambda f: f.norm), join(lambda f: f.words), join(lambda f: f.shown))
 
     def features(self, found: list[str], of: np.ndarray, place: np.ndarray) -> Features:
         """Features of units, which are at such places of documents of so many units."""
@@ -171,8 +183,8 @@ class Reader:
             for i, x in enumerate((np.minimum(lens, 40) // 4, np.minimum(of, 12), np.where(words, (shares * 8).astype(np.int64), 9), upper, ends * 2 + (place == 0))):
                 parts.append((every, _mixed(x.astype(np.uint64) * k[3] + np.uint64(1000 + i))))
         owner, code = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        code = (_mixed(code) % np.uint64(DIMS)).astype(np.int64)
-        return Features(owner, code, np.sqrt(np.bincount(owner, minlength=n)), words, quoted)
+        code = (_mixed(code) % np.uint64(DIMS)).astype(np.int32)
+        return Features(owner.astype(np.int32), code, np.sqrt(np.bincount(owner, minlength=n)), words, quoted)
 
 
 @dataclass
@@ -185,14 +197,14 @@ class Features:
 
     def chosen(self, keep: np.ndarray) -> Features:
         """The units where `keep`, numbered anew and in order."""
-        number = np.cumsum(keep) - 1
+        number = (np.cumsum(keep) - 1).astype(np.int32)
         on = keep[self.unit]
         unit, code = number[self.unit[on]], self.code[on]
         order = np.argsort(unit, kind="stable")
         return Features(unit[order], code[order], self.norm[keep], self.words[keep], self.shown[keep])
 
     def followed(self, other: Features) -> Features:
-        pairs = ((self.unit, other.unit + len(self.norm)), (self.code, other.code), (self.norm, other.norm), (self.words, other.words), (self.shown, other.shown))
+        pairs = ((self.unit, other.unit + np.int32(len(self.norm))), (self.code, other.code), (self.norm, other.norm), (self.words, other.words), (self.shown, other.shown))
         return Features(*map(np.concatenate, pairs))
 
 
