@@ -285,9 +285,10 @@ def similar_sets(sets: DataFrame, join: Join) -> DataFrame:
     width = 1 << min(max(int(total // 8).bit_length(), _SKETCH_BITS[0]), _SKETCH_BITS[1])
     counted = sets.select(F.explode("toks").alias("t")).groupBy(F.expr(f"t & {width - 1}").cast("int").alias("at")).agg(F.count("*").alias("n"))
     counted = counted.toArrow()  # at most `width` rows, as Arrow batches
-    freq, n = np.zeros(width, np.int32), counted["n"].to_numpy()
-    freq[counted["at"].to_numpy()] = np.minimum(n, 2**31 - 1)
+    freq = np.zeros(width, np.int32)
+    freq[counted["at"].to_numpy()] = np.minimum(counted["n"].to_numpy(), 2**31 - 1)
     sketch = spark.sparkContext.broadcast(freq.tobytes())
+    del counted, freq  # the driver has little room
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(2 * total / _PART_ROWS))
     pairs, left = _meeting(sets.select("id", "grp", "toks").mapInArrow(_keyer(join, sketch), _KEYS), parts, join)

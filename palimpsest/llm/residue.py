@@ -267,8 +267,8 @@ def fit(f: Features, y: np.ndarray, weight: np.ndarray, common: frozenset[str],
             z = np.add.reduceat(w[at], first, axis=0) * scale[b] + w[-1]
             g = (_softmax(z) - target[b]) * weight[b] / len(b)
             of = np.repeat(g * scale[b], count, axis=0)
-            here = np.unique(at)
-            grad = np.stack([np.bincount(at, of[:, c], len(used) + 1)[here] for c in range(4)], 1) + l2 * w[here]
+            here, at = np.unique(at, return_inverse=True)
+            grad = np.stack([np.bincount(at, of[:, c], len(here)) for c in range(4)], 1) + l2 * w[here]
             seen[here] += (grad**2).max(1)
             w[here] -= rate * grad / np.sqrt(seen[here])[:, None]
             bias = g.sum(0)
