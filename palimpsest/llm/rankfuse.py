@@ -3,12 +3,16 @@
 Scores become rank shares within their list, which removes the lists' scales. A correlation
 matrix between kinds of list is summed up over all queries; its first principal component
 weighs the standardised ranks. Ranks count in each list's declared direction, and the component
-is oriented to it.
+is oriented to it. Every kind has a loading of its own: the matrix of a few kinds is decomposed
+on the driver, that of many is only multiplied with vectors, where its pairs are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +20,10 @@ from palimpsest.operators.skew import mean_ranks, positions
 from palimpsest.session import stage
 
 MASKED = -1e9
-MOST_KINDS = 64  # kinds of list with a loading of their own
+DENSE_KINDS = 64  # kinds of list whose matrix is decomposed on the driver
+_BASIS, _ROOM = 40, 4_000_000  # vectors over more kinds that the driver holds at least, and numbers it has room for
+_CLOSE = 1e-13  # what is left of a product beside the component, as a share of it
+_ROUNDS = 50
 
 
 def best_scores(hits: DataFrame, down: list[str] = []) -> DataFrame:  # noqa: B006
@@ -28,12 +35,14 @@ def best_scores(hits: DataFrame, down: list[str] = []) -> DataFrame:  # noqa: B0
     return scored.groupBy("qid", "list", "memory_id").agg(best.alias("score"))
 
 
-def with_kinds(ranked: DataFrame, most: int = MOST_KINDS) -> DataFrame:
-    """`ranked` with `kind` (lane, mu), of which there are at most `most`, whatever `mu` is.
+def with_kinds(ranked: DataFrame, most: int | None = None) -> DataFrame:
+    """`ranked` with `kind` (lane, mu): each list's own, unless a caller asks for `most` at most.
 
-    A kind is a lane with its `mu` if there are few such, else a lane, with `mu` as a parameter of it; beyond the
-    `most` - 1 lanes with most rows, all lanes are one kind, `*`.
+    With `most`, a kind is a lane with its `mu` if there are few such, else a lane, with `mu` as a parameter of it; beyond
+    the `most` - 1 lanes with most rows, all lanes are one kind, `*`.
     """
+    if most is None:
+        return ranked.withColumn("kind", F.col("list"))
     if ranked.select("list").distinct().limit(most + 1).count() <= most:
         return ranked.withColumn("kind", F.col("list"))
     lanes = ranked.groupBy("list.lane").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lane").limit(most).collect()
@@ -66,7 +75,7 @@ def correlations(ranked: DataFrame) -> DataFrame:
 def loadings(moments: list) -> list[tuple]:
     """(kind, weight, mean): the first principal component's loadings over the standard deviations.
 
-    `moments` has a row per pair of kinds, MOST_KINDS squared at most. Pairs of kinds that no query has both of
+    `moments` has a row per pair of kinds, DENSE_KINDS squared at most. Pairs of kinds that no query has both of
     take the mean of the known correlations. The shares already follow the declared directions, so the component
     is turned to where the loadings' sum is positive; a list that runs against the others keeps its negative loading.
     """
@@ -90,6 +99,75 @@ def loadings(moments: list) -> list[tuple]:
     return [(k, float(w / s) if s > 1e-6 else float(w), float(m)) for k, w, s, m in zip(kinds, weight, sd, mean)]
 
 
+def first_component(times: Callable[[np.ndarray], np.ndarray], d: int) -> np.ndarray:
+    """The unit eigenvector of the largest eigenvalue of a symmetric matrix known by its products with vectors (Lanczos, restarted)."""
+    v = np.ones(d) / np.sqrt(d) + np.random.default_rng(0).standard_normal(d) * 0.1 / np.sqrt(d)
+    v /= np.linalg.norm(v)
+    most = min(d, max(_BASIS, _ROOM // d))
+    for _ in range(_ROUNDS):
+        basis, along, beside = [v], [], []
+        while True:
+            w = times(basis[-1])
+            along.append(w @ basis[-1])
+            for _ in range(2):  # once leaves what rounding leaves
+                for b in basis:
+                    w = w - (w @ b) * b
+            left = np.linalg.norm(w)
+            values, vectors = np.linalg.eigh(np.diag(along) + np.diag(beside, 1) + np.diag(beside, -1))
+            done = left * abs(vectors[-1, -1]) <= _CLOSE * max(abs(values[-1]), 1.0)
+            if done or len(basis) == most:
+                break
+            basis.append(w / left)
+            beside.append(left)
+        v = sum(x * b for x, b in zip(vectors[:, -1], basis))
+        v /= np.linalg.norm(v)
+        if done or len(basis) == d:
+            return v
+    raise ArithmeticError(f"no first component of {d} kinds of list after {_ROUNDS * most} products: its two largest eigenvalues are all but equal")
+
+
+def many_loadings(moments: DataFrame) -> DataFrame:
+    """(k, weight) as `loadings` has them, for any number of kinds: the driver holds some vectors over the kinds, never their pairs.
+
+    The matrix is the mean of the known correlations everywhere, 1 in the diagonal, and at the known pairs what they have besides.
+    """
+    spark = moments.sparkSession
+    var = lambda s, ss: F.col(ss) / F.col("n") - (F.col(s) / F.col("n")) * (F.col(s) / F.col("n"))
+    m = stage(moments.withColumns({"va": var("sa", "saa"), "vb": var("sb", "sbb")}), "moments")
+    own = F.col("a").eqNullSafe(F.col("b"))
+    kinds = m.where(own).select(F.col("a.lane").alias("lane"), F.col("a.mu").alias("mu"), "va").toArrow().sort_by([("lane", "ascending"), ("mu", "ascending")])
+    d = kinds.num_rows
+    sd = np.sqrt(np.maximum(kinds["va"].to_numpy(), 0))
+    at = stage(spark.createDataFrame(kinds.append_column("i", pa.array(np.arange(d, dtype=np.int32))), "lane string, mu double, va double, i int").select(F.struct("lane", "mu").alias("k"), "i"), "kinds")
+    known = m.where(~own & (F.col("va") > 1e-12) & (F.col("vb") > 1e-12))
+    known = known.withColumn("c", (F.col("sab") / F.col("n") - F.col("sa") * F.col("sb") / (F.col("n") * F.col("n"))) / F.sqrt(F.col("va") * F.col("vb")))
+    row, col = at.select(F.col("k").alias("ka"), F.col("i").alias("a_at")), at.select(F.col("k").alias("kb"), F.col("i").alias("b_at"))
+    cells = stage(known.join(row, F.col("a").eqNullSafe(F.col("ka"))).join(col, F.col("b").eqNullSafe(F.col("kb"))).select(F.col("a_at").alias("i"), F.col("b_at").alias("j"), "c"), "cells")
+    mean = cells.agg(F.avg("c")).first()[0] or 0.0
+
+    def times(v: np.ndarray) -> np.ndarray:
+        sent = spark.sparkContext.broadcast(v)
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            x = np.zeros(len(sent.value))
+            for batch in batches:
+                x += np.bincount(batch["i"].to_numpy(), (batch["c"].to_numpy() - mean) * sent.value[batch["j"].to_numpy()], len(x))
+            some = np.nonzero(x)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(x[some])], names=["i", "x"])
+
+        got = cells.mapInArrow(partial, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+        sent.destroy()
+        out = mean * v.sum() + (1 - mean) * v
+        out[got["i"].to_numpy()] += got["x"].to_numpy()
+        return out
+
+    vector = first_component(times, d)
+    vector = vector * (-1 if vector.sum() < 0 else 1)
+    weight = pa.array(np.where(sd > 1e-6, vector / np.where(sd > 1e-6, sd, 1), vector))
+    w = spark.createDataFrame(kinds.append_column("weight", weight), "lane string, mu double, va double, weight double")
+    return w.select(F.struct("lane", "mu").alias("k"), "weight")
+
+
 def rank_shares(hits: DataFrame, directions: dict[str, int] | None = None) -> DataFrame:
     """(qid, list, memory_id, share): the rank share in each list, 1 for its best; where the lane's direction is -1, lower scores are better."""
     down = [lane for lane, d in (directions or {}).items() if d < 0]
@@ -109,9 +187,13 @@ def fused(hits: DataFrame, directions: dict[str, int] | None = None) -> DataFram
     """
     ranked = stage(rank_shares(hits, directions), "ranked")
     ranked = with_kinds(ranked)
-    weights = loadings(correlations(ranked).collect())  # one row per pair of kinds of list
-    w = hits.sparkSession.createDataFrame([((k[0], k[1]), x) for k, x, _ in weights], "k struct<lane: string, mu: double>, weight double")
-    joined = ranked.join(F.broadcast(w), F.col("kind").eqNullSafe(F.col("k")))  # one row per kind of list
+    moments = correlations(ranked)  # one row per pair of kinds of list
+    if ranked.select("kind").distinct().limit(DENSE_KINDS + 1).count() > DENSE_KINDS:
+        w = many_loadings(moments)
+    else:
+        weights = [((k[0], k[1]), x) for k, x, _ in loadings(moments.collect())]
+        w = F.broadcast(hits.sparkSession.createDataFrame(weights, "k struct<lane: string, mu: double>, weight double"))
+    joined = ranked.join(w, F.col("kind").eqNullSafe(F.col("k")))
     return joined.groupBy("qid", "memory_id").agg(F.sum(F.col("share") * F.col("weight")).alias("fused"))
 
 

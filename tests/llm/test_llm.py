@@ -270,6 +270,29 @@ def test_rankfuse_with_continuous_mu_and_many_lanes(spark):
     assert {tuple(r) for r in rankfuse.firsts(df).collect()} == {(q, 2) for q in range(90)}
 
 
+def test_rankfuse_of_more_kinds_than_a_driver_decomposes(spark):
+    rnd = random.Random(3)
+    rows = []
+    for q in range(8):
+        for m in range(10):
+            x = rnd.gauss(0, 1)
+            rows += [(q, f"l{i:02}", None, m, x + rnd.gauss(0, 0.2 + i / 40)) for i in range(rankfuse.DENSE_KINDS + 5)]
+            rows += [(q, "z", None, m, -x + rnd.gauss(0, 0.2))] if m < 9 else []  # the fewest rows
+    w, want = _reference_fusion(rows)
+    assert w["z"] < 0 < w["l00"]
+    df = spark.createDataFrame(rows, "qid long, lane string, mu double, memory_id long, score double")
+    got = {(r.qid, r.memory_id): r.fused for r in rankfuse.fused(df).collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
+    assert {r.kind.lane for r in rankfuse.with_kinds(rankfuse.rank_shares(df)).select("kind").distinct().collect()} == set(w)
+
+
+def test_first_component():
+    x = np.random.default_rng(1).standard_normal((150, 150))
+    want = np.linalg.eigh(x + x.T)[1][:, -1]
+    got = rankfuse.first_component(lambda v: (x + x.T) @ v, 150)
+    assert 1 - abs(got @ want) < 1e-12
+
+
 def test_best_fit_conflicts():
     bins = packing.best_fit([6, 5, 4, 3], 10, [0, 1, 0, 0], [0, -1, 0, -1], {})
     assert bins == [0, 1, 1, 0]  # 4 fits 6's bin exactly but is its duplicate
