@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,13 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.session import stage
+from palimpsest.session import discard, stage
 
 BITS = 10240
 _PER_BUCKET = 200  # vectors a bucket's rows are joined for; those of a larger one are compared in blocks
 _BLOCK = 20_000
 _TILE = 4_000_000  # pairs of a block compared at once
 _PART_ROWS = 1_500_000  # rows of keys that one task groups
+_ROUNDS = 4  # in which the tables, and then the candidates, are gone through if there are many: what a round shuffles is gone in the next
 _KEYS = "key long, id long, own boolean"
 
 
@@ -74,15 +76,17 @@ def projections(h: Hashing) -> tuple[np.ndarray, np.ndarray]:
     return draw, rng.uniform(size=shape[1])
 
 
-def _hasher(h: Hashing):
-    """Keys of a batch of vectors: their own bucket of each table and the perturbed ones."""
+def _hasher(h: Hashing, some: slice):
+    """Keys of a batch of vectors: their own bucket of each of `some` of the tables and the perturbed ones."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = h.functions
         draw, offset = projections(h)
+        draw, offset = np.ascontiguousarray(draw[:, some.start * m : some.stop * m]), offset[some.start * m : some.stop * m]
         rng = np.random.default_rng(h.seed + 1)
-        table_salt = rng.integers(1, 2**62, h.tables).astype(np.int64)
-        salt = rng.integers(1, 2**62, (m, h.tables)).astype(np.int64).T | 1
+        table_salt = rng.integers(1, 2**62, h.tables).astype(np.int64)[some]
+        salt = (rng.integers(1, 2**62, (m, h.tables)).astype(np.int64).T | 1)[some]
+        tables = len(table_salt)
         order_sets = probe_order(m, h.probes)
         for batch in batches:
             all_ids, lists = batch.column("id").to_numpy(), batch.column("bits")
@@ -97,8 +101,8 @@ def _hasher(h: Hashing):
                     y[:, c : c + 64] = np.add.reduceat(draw[values[base[lo] : base[hi]], c : c + 64], start, axis=0)
                 f = np.log(np.maximum(np.abs(y), 1e-300)) / h.width + offset
                 cell = np.floor(f)
-                inside = (f - cell).reshape(n, h.tables, m)
-                code = (cell.astype(np.int64) * 2 + (y > 0)).reshape(n, h.tables, m)
+                inside = (f - cell).reshape(n, tables, m)
+                code = (cell.astype(np.int64) * 2 + (y > 0)).reshape(n, tables, m)
                 with np.errstate(over="ignore"):
                     key = (code * salt).sum(2) + table_salt
                     near = np.argsort(np.concatenate([inside, 1 - inside], 2), axis=2)
@@ -108,10 +112,10 @@ def _hasher(h: Hashing):
                         for r in ranks:
                             w = near[:, :, r]
                             function, up = w % m, np.where(w < m, -1, 1)
-                            moved += up * 2 * np.take_along_axis(np.broadcast_to(salt, (n, h.tables, m)), function[:, :, None], 2)[:, :, 0]
+                            moved += up * 2 * np.take_along_axis(np.broadcast_to(salt, (n, tables, m)), function[:, :, None], 2)[:, :, 0]
                         found.append(moved)
                 for i, k in enumerate(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1)), pa.array(np.repeat(ids, h.tables)), pa.array(np.full(k.size, i == 0))], names=["key", "id", "own"])
+                    yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1)), pa.array(np.repeat(ids, tables)), pa.array(np.full(k.size, i == 0))], names=["key", "id", "own"])
 
     return keys
 
@@ -210,16 +214,28 @@ def newest_fingerprints(fingerprints: DataFrame) -> DataFrame:
     return newest.select("chunk_id", clean_bits(F.col("r.bits")).alias("bits"))
 
 
+def rounds_for(sets: DataFrame, h: Hashing) -> int:
+    return _ROUNDS if sets.count() * h.tables * (1 + h.probes) > _PART_ROWS else 1
+
+
 def candidate_pairs(sets: DataFrame, h: Hashing, k: int | None = None) -> DataFrame:
     """(a, b) with a < b of `sets` (id, bits) that some table brings together.
 
-    The rows of a bucket of more than a few hundred vectors are not joined: all that are stored in it or look into it
+    A bucket belongs to one table, so the tables are gone through in rounds. The rows of a bucket of more than a few hundred
+    vectors are not joined: all that are stored in it or look into it
     are compared there, exactly, in blocks of vectors, and with a `k` only each one's k most similar are given.
     """
+    rounds = min(rounds_for(sets, h), h.tables)
+    ends = [h.tables * i // rounds for i in range(rounds + 1)]
+    return reduce(DataFrame.unionByName, [_met(sets, h, slice(lo, hi), k) for lo, hi in zip(ends, ends[1:])]).distinct()
+
+
+def _met(sets: DataFrame, h: Hashing, some: slice, k: int | None) -> DataFrame:
+    """The candidates of `some` of the tables, as a table."""
     spark = sets.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sets.count() * h.tables * (1 + h.probes) // _PART_ROWS)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sets.count() * (some.stop - some.start) * (1 + h.probes) // _PART_ROWS)
     # one exchange, which is used again: for the sizes of buckets, and for the rows of those where vectors meet
-    keys = sets.mapInArrow(_hasher(h), _KEYS).where("key is not null").repartition(parts, "key")
+    keys = sets.mapInArrow(_hasher(h, some), _KEYS).where("key is not null").repartition(parts, "key")
     sizes = keys.groupBy("key").agg(F.count_if("own").alias("n"), F.count("*").alias("m"), F.min("id").alias("i0"), F.max("id").alias("i1"))
     sizes = sizes.where("n > 0 and i0 <> i1").select("key", "n", "m")
     rows = stage(keys.join(sizes.hint("shuffle_hash"), "key"), "buckets")
@@ -230,7 +246,9 @@ def candidate_pairs(sets: DataFrame, h: Hashing, k: int | None = None) -> DataFr
     crowded = rows.where(F.col("n") > _PER_BUCKET)
     if crowded.take(1):
         pairs = pairs.unionByName(_compared(crowded, sets, k))
-    return pairs.distinct()
+    pairs = stage(pairs.distinct(), "met")
+    discard(rows)
+    return pairs
 
 
 def _compared(keys: DataFrame, sets: DataFrame, k: int | None) -> DataFrame:
@@ -246,10 +264,15 @@ def _compared(keys: DataFrame, sets: DataFrame, k: int | None) -> DataFrame:
 
 def similar_pairs(sets: DataFrame, h: Hashing, k: int | None = None) -> DataFrame:
     """(a, b, sim) of the candidates, with their exact Jaccard similarity."""
-    a, b = sets.select(F.col("id").alias("a"), F.col("bits").alias("ba")), sets.select(F.col("id").alias("b"), F.col("bits").alias("bb"))
-    both = candidate_pairs(sets, h, k).join(a, "a").join(b, "b")
+    pairs, rounds = stage(candidate_pairs(sets, h, k), "candidates"), rounds_for(sets, h)
+    part = lambda x: F.pmod(F.xxhash64(x), F.lit(rounds))
     shared = F.size(F.array_intersect("ba", "bb"))
-    return both.select("a", "b", (shared / (F.size("ba") + F.size("bb") - shared)).alias("sim"))
+    similar = []
+    for i in range(rounds):  # by the one side, whose bits go with the pair to the other
+        a, b = sets.where(part("id") == i).select(F.col("id").alias("a"), F.col("bits").alias("ba")), sets.select(F.col("id").alias("b"), F.col("bits").alias("bb"))
+        both = pairs.where(part("a") == i).join(a, "a").join(b, "b")
+        similar.append(stage(both.select("a", "b", (shared / (F.size("ba") + F.size("bb") - shared)).alias("sim")), "compared"))
+    return reduce(DataFrame.unionByName, similar)
 
 
 def nearest(fingerprints: DataFrame, k: int = 5, h: Hashing = Hashing(), least: float = 0.0) -> DataFrame:
@@ -258,19 +281,23 @@ def nearest(fingerprints: DataFrame, k: int = 5, h: Hashing = Hashing(), least:
     Fingerprints without bits are similar to nothing. Of a class of equal fingerprints each member gets the
     class's smallest ids first; no more than k+1 members of a class are ever looked at, so copies cost a row each.
     """
-    newest = stage(newest_fingerprints(fingerprints).where(F.size("bits") > 0).withColumns({"h1": F.xxhash64("bits"), "h2": F.xxhash64(F.lit(1), "bits")}), "newest")
+    newest = newest_fingerprints(fingerprints).withColumn("bits", F.col("bits").cast("array<short>")).where(F.size("bits") > 0)
+    newest = stage(newest.withColumns({"h1": F.xxhash64("bits"), "h2": F.xxhash64(F.lit(1), "bits")}), "newest")
     of_class = Window.partitionBy("h1", "h2").orderBy("chunk_id")
     first = newest.select("h1", "h2", "chunk_id").withColumn("at", F.row_number().over(of_class)).where(F.col("at") <= k + 1)
     heads = stage(first.groupBy("h1", "h2").agg(F.min("chunk_id").alias("rep"), F.sort_array(F.collect_list("chunk_id")).alias("some")), "classes")
     sets = stage(newest.join(heads.select(F.col("rep").alias("chunk_id")), "chunk_id", "left_semi").select(F.col("chunk_id").alias("id"), "bits"), "sets")
+    classed = stage(newest.select("chunk_id", "h1", "h2"), "classed")
+    discard(newest)
     near = stage(similar_pairs(sets, h, k).where(F.col("sim") >= least), "similar")
+    discard(sets)
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
     # the k best other classes hold the k best other members, since a class ranks by its smallest id
     best = both.withColumn("at", F.row_number().over(Window.partitionBy("a").orderBy(F.col("sim").desc(), "b"))).where(F.col("at") <= k)
     others = best.join(heads.select(F.col("rep").alias("b"), "some"), "b").select(F.col("a").alias("rep"), "sim", F.explode(F.slice("some", 1, k)).alias("neighbour"))
     others = others.withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy(F.col("sim").desc(), "neighbour"))).where(F.col("at") <= k)
     others = others.groupBy("rep").agg(F.collect_list(F.struct((-F.col("sim")).alias("d"), F.col("neighbour").alias("n"))).alias("others"))
-    members = newest.select("chunk_id", "h1", "h2").join(heads, ["h1", "h2"]).join(others, "rep", "left")
+    members = classed.join(heads, ["h1", "h2"]).join(others, "rep", "left")
     own = F.transform("some", lambda m: F.struct(F.lit(-1.0).alias("d"), m.alias("n")))
     every = F.filter(F.concat(own, F.coalesce("others", F.array().cast("array<struct<d:double,n:bigint>>"))), lambda e: e.n != F.col("chunk_id"))
     listed = members.select("chunk_id", F.posexplode(F.slice(F.array_sort(every), 1, k)).alias("at", "e"))

@@ -293,6 +293,29 @@ def test_first_component():
     assert 1 - abs(got @ want) < 1e-12
 
 
+def test_neighbours_in_rounds_keep_all_and_leave_nothing_shuffled(spark, monkeypatch):
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle")}
+
+    rnd = random.Random(11)
+    base = [sorted(rnd.sample(range(10240), 60)) for _ in range(40)]
+    rows = [(4 * i + c, [x if rnd.random() > 0.1 * c else rnd.randrange(10240) for x in b]) for i, b in enumerate(base) for c in range(3)]
+    sets = spark.createDataFrame(rows, "id long, bits array<int>").withColumn("bits", neighbours.clean_bits(F.col("bits")))
+    h = neighbours.Hashing(tables=10)
+    once = {tuple(r) for r in neighbours.candidate_pairs(sets, h).collect()}
+    prints = sets.select(F.col("id").alias("chunk_id"), "bits", F.current_timestamp().alias("written_at"))
+    near = {tuple(r) for r in neighbours.nearest(prints, 5, h).collect()}
+    monkeypatch.setattr(neighbours, "_PART_ROWS", 100)
+    spark.sparkContext._jvm.System.gc()
+    before = shuffled()
+    again = neighbours.candidate_pairs(sets, h)  # every round is written by now
+    new = shuffled() - before
+    assert len(once) > 60 and {tuple(r) for r in again.collect()} == once
+    assert {tuple(r) for r in neighbours.nearest(prints, 5, h).collect()} == near
+    assert not new
+
+
 def test_best_fit_conflicts():
     bins = packing.best_fit([6, 5, 4, 3], 10, [0, 1, 0, 0], [0, -1, 0, -1], {})
     assert bins == [0, 1, 1, 0]  # 4 fits 6's bin exactly but is its duplicate
