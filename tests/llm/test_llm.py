@@ -316,6 +316,24 @@ def test_neighbours_in_rounds_keep_all_and_leave_nothing_shuffled(spark, monkeyp
     assert not new
 
 
+def test_near_duplicates_in_rounds_of_bands(spark, monkeypatch):
+    rnd = random.Random(12)
+    texts = []
+    for n in (18, 30, 50, 80, 140):
+        for _ in range(6):
+            base = [f"w{rnd.randrange(4000)}" for _ in range(n)]
+            texts += [" ".join(w if rnd.random() > 0.03 * c else f"v{rnd.randrange(4000)}" for w in base) for c in range(3)]
+            texts.append(" ".join(base[: int(0.8 * n)]))
+    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts + texts[:5])], "seq long, memory_id long, text string")
+    once = {tuple(r) for r in nearcopies.near_duplicate_pairs(df).collect()}
+    monkeypatch.setattr(nearcopies, "_PART_ROWS", 100)
+    join = nearcopies.Join()
+    sizes = [(n, 1) for n in range(15, 200)]
+    bands = [b for its, _, _ in nearcopies.rounds(sizes, join) for b in its]
+    assert sorted(bands) == sorted(set(bands)) == sorted(set(join.band(np.arange(15, 200)))) and len(nearcopies.rounds(sizes, join)) > 3
+    assert len(once) > 60 and {tuple(r) for r in nearcopies.near_duplicate_pairs(df).collect()} == once
+
+
 def test_best_fit_conflicts():
     bins = packing.best_fit([6, 5, 4, 3], 10, [0, 1, 0, 0], [0, -1, 0, -1], {})
     assert bins == [0, 1, 1, 0]  # 4 fits 6's bin exactly but is its duplicate
