@@ -22,9 +22,16 @@ RANGE = 32768  # keys per bitmap of Spark's bitmap functions
 NO_PERIOD = -1
 #: Whole-number keys stand for themselves while at least one value in so many is in use.
 SPARSE = 64
+#: So many rows of keys are broadcast at most. Tables of keys compress so well that their bytes on disk tell nothing.
+BROADCAST_ROWS = 20_000
 _FOLD = "rel string, code long, period int"
 
 
+def by_rows(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, of `rows` rows, as a side of a join: broadcast only if they are few, else the driver holds none of it."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+
+
 def month_index(ts: Column) -> Column:
     """Months since year 0; rows without a time go to a period of their own before all others."""
     return F.coalesce((F.year(ts) * 12 + F.month(ts) - 1).cast("int"), F.lit(NO_PERIOD))
@@ -36,21 +43,23 @@ def month_name(period: Column) -> Column:
 
 @dataclass
 class Dictionary:
-    """Keys to integer codes. `table` is null where whole numbers stand for themselves."""
+    """Keys to integer codes. `table`, of `rows` rows, is null where whole numbers stand for themselves."""
 
     table: DataFrame | None
+    rows: int = 0
 
     def encode(self, df: DataFrame, key: str) -> DataFrame:
         """`df` with `code`; rows with a null key are dropped."""
         df = df.where(F.col(key).isNotNull())
         if self.table is None:
             return df.withColumn("code", F.col(key).cast("long"))
-        return df.join(self.table.withColumnRenamed("dict_key", key), key)
+        return df.join(by_rows(self.table.withColumnRenamed("dict_key", key), self.rows), key)
 
-    def decode(self, df: DataFrame, key: str) -> DataFrame:
+    def decode(self, df: DataFrame, key: str, rows: int = BROADCAST_ROWS + 1) -> DataFrame:
+        """`df`, of `rows` rows, with `key`."""
         if self.table is None:
             return df.withColumn(key, F.col("code"))
-        return df.join(self.table.withColumnRenamed("dict_key", key), "code")
+        return by_rows(df, rows).join(self.table.withColumnRenamed("dict_key", key), "code")
 
 
 def dictionary(columns: list[tuple[DataFrame, str]]) -> Dictionary:
@@ -73,7 +82,8 @@ def dictionary(columns: list[tuple[DataFrame, str]]) -> Dictionary:
         d = df.select(F.col(c).cast("string" if "string" in kinds else "long").alias("dict_key")).where("dict_key is not null").distinct()
         keys = d if keys is None else keys.unionByName(d)
     keys = keys.distinct().repartitionByRange("dict_key").sortWithinPartitions("dict_key")
-    return Dictionary(stage(keys.withColumn("code", F.monotonically_increasing_id() + 1), "dictionary"))
+    table = stage(keys.withColumn("code", F.monotonically_increasing_id() + 1), "dictionary")
+    return Dictionary(table, table.count())
 
 
 def bitmaps(df: DataFrame, rel: str, role: str, period: Column) -> DataFrame:
@@ -154,7 +164,7 @@ def as_of_verdicts(refs: DataFrame, events: DataFrame) -> DataFrame:
     )
     in_day = Window.partitionBy("parent", "day").orderBy("ts", F.col("ref_key").isNotNull(), "seq").rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("state", F.last("op", ignorenulls=True).over(in_day)).where(~is_event)
-    joined = seen.join(days, seen.parent.eqNullSafe(days.d_parent) & seen.day.eqNullSafe(days.d_day))
+    joined = seen.join(days.hint("merge"), seen.parent.eqNullSafe(days.d_parent) & seen.day.eqNullSafe(days.d_day))
     kind = (
         F.when(~F.col("known"), "missing")
         .when(F.col("first_ts") > F.col("ts"), "late")
@@ -201,33 +211,36 @@ def orphans(wal: DataFrame, chunks: DataFrame, postings: DataFrame, fingerprints
         "suspects",
     )
 
+    many = {r["rel"]: r["count"] for r in found.groupBy("rel").count().collect()}  # three rows
+    keys = lambda rel: many.get(rel, 0)
+
     # chunks: the suspects' own history decides
-    parents = memories.decode(found.where("rel = 'chunks'"), "parent_memory_id").select("parent_memory_id", "period")
+    parents = memories.decode(found.where("rel = 'chunks'"), "parent_memory_id", keys("chunks")).select("parent_memory_id", "period")
     refs = (
         chunks.withColumn("period", month_index(F.col("written_at")))
-        .join(parents, ["parent_memory_id", "period"], "left_semi")
+        .join(by_rows(parents, keys("chunks")), ["parent_memory_id", "period"], "left_semi")
         .groupBy("entry_id").agg(F.min(F.struct("written_at", "parent_memory_id")).alias("e"))
         .select(F.col("e.parent_memory_id").alias("parent"), F.col("entry_id").alias("ref_key"), F.col("e.written_at").alias("at"))
     )
-    events = wal.join(parents.select(F.col("parent_memory_id").alias("memory_id")), "memory_id", "left_semi").select(F.col("memory_id").alias("parent"), "ts", "seq", "op")
+    events = wal.join(by_rows(parents.select(F.col("parent_memory_id").alias("memory_id")), keys("chunks")), "memory_id", "left_semi").select(F.col("memory_id").alias("parent"), "ts", "seq", "op")
     of_chunks = as_of_verdicts(refs, events).where("kind is not null").select(F.lit("chunks").alias("src_table"), F.col("ref_key").alias("src_key"), "kind", month_index(F.col("at")).alias("period"))
 
     # postings: the bits are the verdict, the record's time only dates it
-    lost = ids.decode(found.where("rel = 'postings'"), "chunk_id").select("chunk_id")
+    lost = ids.decode(found.where("rel = 'postings'"), "chunk_id", keys("postings")).select("chunk_id")
     dated = (
-        postings.select("chunk_id", "seq").join(lost, "chunk_id", "left_semi").distinct()
-        .join(wal.groupBy("seq").agg(F.min("ts").alias("ts")), "seq", "left")
+        postings.select("chunk_id", "seq").join(by_rows(lost, keys("postings")), "chunk_id", "left_semi").distinct()
+        .join(wal.groupBy("seq").agg(F.min("ts").alias("ts")).hint("merge"), "seq", "left")
         .groupBy("chunk_id").agg(F.min("ts").alias("ts"))
     )
     of_postings = dated.select(F.lit("postings").alias("src_table"), F.col("chunk_id").cast("long").alias("src_key"), F.lit("missing").alias("kind"), month_index(F.col("ts")).alias("period"))
 
     # fingerprints: first print against first entry
-    maybe = ids.decode(found.where("rel = 'fingerprints'"), "chunk_id").select("chunk_id").distinct()
+    maybe = by_rows(ids.decode(found.where("rel = 'fingerprints'"), "chunk_id", keys("fingerprints")).select("chunk_id").distinct(), keys("fingerprints"))
     first = prints.join(maybe, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.min("written_at").alias("printed"))
     entry = chunks.join(maybe, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.min("written_at").alias("entered"), F.lit(True).alias("held"))
     verdict = F.when(F.col("held").isNull(), "missing").when(F.col("entered") > F.col("printed"), "late")
     of_prints = (
-        first.join(entry, "chunk_id", "left").withColumn("kind", verdict).where("kind is not null")
+        first.join(by_rows(entry, keys("fingerprints")), "chunk_id", "left").withColumn("kind", verdict).where("kind is not null")
         .select(F.lit("fingerprints").alias("src_table"), F.col("chunk_id").cast("long").alias("src_key"), "kind", month_index(F.col("printed")).alias("period"))
     )
     return of_chunks.unionByName(of_postings).unionByName(of_prints)

@@ -52,3 +52,19 @@ def test_dictionary_of_sparse_and_text_keys(spark):
         assert d.table is not None
         back = d.decode(d.encode(df, "k").select("code"), "k")
         assert {r.k for r in back.collect()} == {r[0] for r in rows}
+
+
+def test_many_keys_are_never_broadcast(spark, monkeypatch):
+    far = 10**12  # so that keys go through a dictionary
+    n = 3000
+    wal = spark.createDataFrame([(i, "insert", far * (i % 7) + i, t(0)) for i in range(n)], WAL)
+    chunks = spark.createDataFrame([(i, far * (i % 7) + i + n * (i % 2), i, t(1), "x") for i in range(n)], CHUNKS)
+    post = spark.createDataFrame([(i + n // 2, i) for i in range(n)], POST)
+    prints = spark.createDataFrame([(2 * i, "text", t(2)) for i in range(n)], PRINTS)
+    broadcast = lambda df: "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+    few = orphans(wal, chunks, post, prints)
+    want = {tuple(r) for r in few.collect()}
+    monkeypatch.setattr("palimpsest.operators.orphans.BROADCAST_ROWS", 1000)
+    many = orphans(wal, chunks, post, prints)
+    assert {tuple(r) for r in many.collect()} == want and len(want) == 1500 + 1500 + 1500
+    assert broadcast(few) and not broadcast(many)
