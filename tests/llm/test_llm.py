@@ -152,6 +152,23 @@ def test_copies_beyond_the_pairs_shown_meet_representatives(spark):
     assert within == {(min(x, h), max(x, h)) for h in (100, 101) for x in range(100, 130) if grp[x] != grp[h]}
 
 
+def test_rare_shingles_do_where_their_lists_are_short(spark, monkeypatch):
+    rnd = random.Random(9)
+    base = [[f"w{rnd.randrange(400)}" for _ in range(40)] for _ in range(40)]
+    rows = [(i, i, " ".join(t)) for i, t in enumerate(base)] + [(100 + i, 100 + i, " ".join([*t[: 40 - i // 4], f"é x{i}"])) for i, t in enumerate(base)]
+    df = spark.createDataFrame(rows, "seq long, memory_id long, text string")
+    sets = {r[0]: _sets(r[2], 3) for r in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])}
+    asked = []
+    monkeypatch.setattr(nearcopies, "_keyer", lambda *a, f=nearcopies._keyer: asked.append(1) or f(*a))
+    assert {tuple(r) for r in nearcopies.near_duplicate_pairs(df).collect()} == want and want and not asked
+    monkeypatch.setattr(nearcopies, "_HOT_KEY", 2)
+    assert {tuple(r) for r in nearcopies.near_duplicate_pairs(df).collect()} == want and not asked
+    monkeypatch.setattr(nearcopies, "_MEETINGS", 0)
+    monkeypatch.setattr(nearcopies, "_PART_ROWS", 100)
+    assert {tuple(r) for r in nearcopies.near_duplicate_pairs(df).collect()} == want and len(asked) > 1
+
+
 def test_sets_that_cannot_hold_the_budget(spark, monkeypatch):
     monkeypatch.setattr(nearcopies.Join, "segments", lambda self, band: np.full(len(band), 2, np.uint64))
     texts = [" ".join(f"v{j}" for j in range(30)), " ".join(f"v{j}" for j in range(2, 32))]
