@@ -265,3 +265,39 @@ def test_readers(spark, tmp_path):
         (tmp_path / "bad.bin").write_bytes(bad)
         with pytest.raises(Exception, match="feature file"):
             readers.features_binary(spark, str(tmp_path / "bad.bin")).collect()
+
+
+def test_best_leaves_out_what_has_no_score():
+    s = np.full((3, 4096), -np.inf)
+    s[:, 4000:4020] = -np.arange(60.0).reshape(3, 20)
+    r, c = blocks._best(s, 5)
+    assert sorted(zip(r.tolist(), c.tolist())) == [(i, 4000 + j) for i in range(3) for j in range(5)]
+
+
+def _some_prints(spark, n=300):
+    rnd = random.Random(4)
+    rows = [(i, sorted({int(10240 * rnd.random() ** 3) for _ in range(rnd.randrange(40))})) for i in range(n)]
+    return dict(rows), spark.createDataFrame(rows, "id long, bits array<int>")
+
+
+def _small_blocks(monkeypatch):
+    """No pair of a block is a row of a shuffle, and no side is written once per block of the other."""
+    for name, size in (("STORED", 40), ("ASKED", 8), ("LEAST", 10), ("_RUN", 3)):
+        monkeypatch.setattr(blocks, name, size)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_weighted_jaccard_over_many_blocks(spark, monkeypatch):
+    _small_blocks(monkeypatch)
+    rows, prints = _some_prints(spark)
+    cfg = EngineConfig()
+    got = retrieval.semantic(prints.where("id % 20 = 0").withColumnRenamed("id", "qid"), prints, 7, cfg, "off")
+    assert "CartesianProduct" in _plan(got)
+    part = lambda b, lo, hi: {x for x in b if lo <= x < hi}
+    share = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    score = lambda q, d: sum(w * share(part(rows[q], lo, hi), part(rows[d], lo, hi)) for _, lo, hi, w in cfg.regions)
+    want = {(q, d, i + 1) for q in rows if q % 20 == 0 for i, d in enumerate(sorted(rows, key=lambda d: (-round(score(q, d), 9), d))[:7])}
+    assert {(r.qid, r.id, r["rank"]) for r in got.collect()} == want
