@@ -301,3 +301,14 @@ def test_weighted_jaccard_over_many_blocks(spark, monkeypatch):
     score = lambda q, d: sum(w * share(part(rows[q], lo, hi), part(rows[d], lo, hi)) for _, lo, hi, w in cfg.regions)
     want = {(q, d, i + 1) for q in rows if q % 20 == 0 for i, d in enumerate(sorted(rows, key=lambda d: (-round(score(q, d), 9), d))[:7])}
     assert {(r.qid, r.id, r["rank"]) for r in got.collect()} == want
+
+
+def test_plain_jaccard_over_many_blocks(spark, monkeypatch):
+    _small_blocks(monkeypatch)
+    rows, prints = _some_prints(spark)
+    got = retrieval.plain_jaccard(prints.where("id % 20 = 0").withColumnRenamed("id", "qid"), prints, 3)
+    assert "CartesianProduct" in _plan(got)
+    sets = {i: set(b) for i, b in rows.items()}
+    score = lambda q, d: len(sets[q] & sets[d]) / max(1, len(sets[q] | sets[d]))
+    want = {(q, d, i + 1) for q in rows if q % 20 == 0 for i, d in enumerate(sorted((d for d in rows if d != q), key=lambda d: (-round(score(q, d), 9), d))[:3])}
+    assert {(r.qid, r.id, r["rank"]) for r in got.collect()} == want
