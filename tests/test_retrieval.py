@@ -312,3 +312,13 @@ def test_plain_jaccard_over_many_blocks(spark, monkeypatch):
     score = lambda q, d: len(sets[q] & sets[d]) / max(1, len(sets[q] | sets[d]))
     want = {(q, d, i + 1) for q in rows if q % 20 == 0 for i, d in enumerate(sorted((d for d in rows if d != q), key=lambda d: (-round(score(q, d), 9), d))[:3])}
     assert {(r.qid, r.id, r["rank"]) for r in got.collect()} == want
+
+
+def test_bands_meet_in_blocks(spark, monkeypatch):
+    _small_blocks(monkeypatch)
+    rows, prints = _some_prints(spark)
+    got = retrieval.band_candidates(prints.where("id % 20 = 0").withColumnRenamed("id", "qid"), prints, 2, False)
+    assert "CartesianProduct" in _plan(got) and "SortMergeJoin" not in _plan(got)
+    held = {i: {(x >> 7, tuple(y for y in b if y >> 7 == x >> 7)) for x in b} for i, b in rows.items()}
+    want = {(q, d, len(held[q] & held[d])) for q in rows if q % 20 == 0 for d in rows if len(held[q] & held[d]) >= 2}
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 20
