@@ -322,3 +322,16 @@ def test_bands_meet_in_blocks(spark, monkeypatch):
     held = {i: {(x >> 7, tuple(y for y in b if y >> 7 == x >> 7)) for x in b} for i, b in rows.items()}
     want = {(q, d, len(held[q] & held[d])) for q in rows if q % 20 == 0 for d in rows if len(held[q] & held[d]) >= 2}
     assert {tuple(r) for r in got.collect()} == want and len(want) > 20
+
+
+def test_candidates_after_a_removal_meet_in_blocks(spark, monkeypatch):
+    from palimpsest.plans import core_queries
+
+    _small_blocks(monkeypatch)
+    rows, prints = _some_prints(spark)
+    monkeypatch.setattr(core_queries, "_prints", lambda spark, d: prints)
+    got = core_queries.lsh_after_removal(spark, "")
+    assert "CartesianProduct" in _plan(got)
+    held = {i: {(x >> 7, tuple(y for y in b if y >> 7 == x >> 7)) for x in b} for i, b in rows.items()}
+    want = {(q, d, len(held[q] & held[d])) for q in rows if q % 20 == 0 for d in rows if d % 3 and len(held[q] & held[d]) >= 2}
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 20
