@@ -335,3 +335,19 @@ def test_candidates_after_a_removal_meet_in_blocks(spark, monkeypatch):
     held = {i: {(x >> 7, tuple(y for y in b if y >> 7 == x >> 7)) for x in b} for i, b in rows.items()}
     want = {(q, d, len(held[q] & held[d])) for q in rows if q % 20 == 0 for d in rows if d % 3 and len(held[q] & held[d]) >= 2}
     assert {tuple(r) for r in got.collect()} == want and len(want) > 20
+
+
+def test_namespaces_meet_in_blocks(spark, monkeypatch):
+    _small_blocks(monkeypatch)
+    rnd = random.Random(8)
+    rows = [(f"n{i % 3}", i, " ".join(rnd.choice("abcdefghij") * rnd.randrange(1, 4) for _ in range(rnd.randrange(12)))) for i in range(240)]
+    docs = spark.createDataFrame(rows, "ns string, id long, text string")
+    q = docs.where("id % 20 = 0").withColumnRenamed("id", "qid")
+    got = retrieval.lexical_within(q, docs, 4)
+    assert "CartesianProduct" in _plan(got)
+    want = set()
+    for ns in ("n0", "n1", "n2"):
+        own = docs.where(f"ns = '{ns}'").select(F.col("id").alias("doc_id"), "text")
+        post = corpus.postings(own)
+        want |= {(r.qid, r.id, r["rank"]) for r in retrieval.lexical(q.where(f"ns = '{ns}'"), post, corpus.term_stats(post), corpus.lengths(own), 4).collect()}
+    assert {(r.qid, r.id, r["rank"]) for r in got.collect()} == want and want
