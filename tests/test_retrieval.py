@@ -276,7 +276,7 @@ def test_best_leaves_out_what_has_no_score():
 
 def _some_prints(spark, n=300):
     rnd = random.Random(4)
-    rows = [(i, sorted({int(10240 * rnd.random() ** 3) for _ in range(rnd.randrange(40))})) for i in range(n)]
+    rows = [(i, sorted({300 * rnd.randrange(34) + rnd.randrange(2) for _ in range(rnd.randrange(12))})) for i in range(n)]
     return dict(rows), spark.createDataFrame(rows, "id long, bits array<int>")
 
 
@@ -351,3 +351,13 @@ def test_namespaces_meet_in_blocks(spark, monkeypatch):
         post = corpus.postings(own)
         want |= {(r.qid, r.id, r["rank"]) for r in retrieval.lexical(q.where(f"ns = '{ns}'"), post, corpus.term_stats(post), corpus.lengths(own), 4).collect()}
     assert {(r.qid, r.id, r["rank"]) for r in got.collect()} == want and want
+
+
+def test_common_bits_are_counted_in_blocks(spark, monkeypatch):
+    _small_blocks(monkeypatch)
+    rows, prints = _some_prints(spark)
+    got = retrieval.region_counts(prints.where("id % 20 = 0").withColumnRenamed("id", "qid"), prints)
+    assert "CartesianProduct" in _plan(got) and "SortMergeJoin" not in _plan(got)
+    sets = {i: set(b) for i, b in rows.items()}
+    both = {(q, d): sets[q] & sets[d] for q in rows if q % 20 == 0 for d in rows}
+    assert {tuple(r) for r in got.collect()} == {(*p, sum(x < 4096 for x in b), sum(4096 <= x < 7168 for x in b), sum(x >= 7168 for x in b)) for p, b in both.items() if b}
